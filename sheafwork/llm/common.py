@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafwork.session import ship_package
+
 #: Rows of an Arrow batch. Long documents make Spark's default of 10,000 rows too large for a worker's memory.
 BATCH_ROWS = 1024
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes sure that checkpoints have a shared folder.
+    """Sends the package to the executors, bounds Arrow batches and makes sure that checkpoints have a shared folder.
 
     The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (unit tests) a temporary one is taken.
     """
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:

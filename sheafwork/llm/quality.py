@@ -148,8 +148,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: DuckDB SQL for :func:`quality_report` over the whole table ``{docs}``. Its last column list is that of the query.
 REPORT_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {docs}),
-w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS w,
-        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ 	-
+]+') AS w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 f AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 r AS (SELECT rid, count(DISTINCT i + k) AS n FROM f, unnest([0, 1, 2]) AS u(k) GROUP BY rid),
