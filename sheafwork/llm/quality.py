@@ -135,7 +135,10 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int =
     stats = text_statistics(docs, text_col)
     rules = plan_cascade(stats, further_rules(), sample_rows)
     judged = stats.withColumn("_base_failed", any_of(base_rules()))
-    return judged.withColumn("_kept", F.when(F.col("_base_failed"), F.lit(False)).otherwise(~any_of(rules)))
+    kept = F.when(F.col("_base_failed"), F.lit(False)).otherwise(~any_of(rules))
+    # A filter on the verdict must not be pushed below the statistics: each step would be copied into every use of it. The always
+    # true test of the partition number is no deterministic expression, which ends the push-down here.
+    return judged.withColumn("_kept", kept & (F.spark_partition_id() >= 0))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
