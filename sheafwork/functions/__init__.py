@@ -1 +1 @@
-
+"""Column expressions: text, dates, names, geometry, and string similarity."""

@@ -1 +1 @@
-
+"""Relational operators over tables of pages, words, packets, roster entries and decisions."""

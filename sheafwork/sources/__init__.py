@@ -1 +1 @@
-
+"""Readers and writers: rosters, sidecar files, documents and caches."""
