@@ -89,7 +89,8 @@ def _write(spark: SparkSession, one: DataFrame, path: str) -> None:
 
 def _as_map(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """One JSON object of sorted keys; nulls are kept."""
-    entries = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), by_key)
     return rows.agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("json"))
 
 
