@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Rows of the sample that orders the rules.
-SAMPLE_ROWS = 256
+#: Rows of the sample that orders the rules, and bytes of each at most.
+SAMPLE_ROWS = 64
+SAMPLE_BYTES = 1 << 15
 LEAST_WORDS = 50
 #: Limits in percent: of words that lie in repeated windows, symbols to words, repeated lines to lines, capitals and letters to characters of words.
 REPEAT_PERCENT = 50
@@ -107,14 +108,19 @@ def any_of(rules: list[Rule]) -> Column:
     return out
 
 
-def plan_cascade(stats: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order of rejection per cost, as measured on at most ``sample_rows`` rows of ``stats``.
+def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order of rejection per cost, as measured on at most ``sample_rows`` texts of at most SAMPLE_BYTES each.
 
-    The sample is cached, and each rule is timed over it. Only the order depends on the sample.
+    The sample is what the first partitions hold, so that its cost does not grow with the table. Only the order depends on it.
     """
-    sample = stats.select("_t", "_q").limit(sample_rows).cache()
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    taken = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect()
+    if not taken:
+        return rules
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(row["text"]) for row in taken])).alias("text"))
+    sample = text_statistics(rows).select("_t", "_q").cache()
     try:
-        n = max(1, sample.count())
+        n = sample.count()
         rated = []
         for place, rule in enumerate(rules):
             began = time.perf_counter()
@@ -133,7 +139,7 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int =
     Columns of docs whose names begin with an underscore followed by t, q, base_failed or kept are replaced.
     """
     stats = text_statistics(docs, text_col)
-    rules = plan_cascade(stats, further_rules(), sample_rows)
+    rules = plan_cascade(docs, further_rules(), text_col, sample_rows)
     judged = stats.withColumn("_base_failed", any_of(base_rules()))
     kept = F.when(F.col("_base_failed"), F.lit(False)).otherwise(~any_of(rules))
     # A filter on the verdict must not be pushed below the statistics: each step would be copied into every use of it. The always
