@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from sheafwork.llm.common import prepare, rows_of, texts_of
+from sheafwork.llm.common import Recent, prepare, rows_of, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of the tables of words and of token pairs; a full table is emptied, which changes the time only.
+#: Entries of the tables of recent words and of token pairs, which change the time only.
 TABLE_ROWS = 300_000
 #: Below this code point the normalizer is plain lower-casing and character classes agree; the tests compare every such character.
 PLAIN_BELOW = "ɐ"
@@ -43,19 +43,22 @@ class BacktrackEncoder:
         for left, right in merges:
             spelled.append(spelled[left] + spelled[right])
         self.length = [len(s) for s in spelled]
-        of = {s: k for k, s in enumerate(spelled)}
-        if len(of) != len(spelled):
+        if len(set(spelled)) != len(spelled):
             raise ValueError("two merges make the same token")
+        # a token that its own text is never merged to cannot occur: an earlier merge across its seam always takes its parts apart
+        occurs = [True] * atoms
+        for k, (left, right) in enumerate(merges):
+            occurs.append(occurs[left] and occurs[right] and self._seam(left, right, atoms + k))
+        of = {s: k for k, s in enumerate(spelled) if occurs[k]}
         self.automaton = ahocorasick.Automaton()
-        for k, s in enumerate(spelled):
+        for s, k in of.items():
             self.automaton.add_word(s, k)
         self.automaton.make_automaton()
         self.shorter = [next((of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in of), -1) for s in spelled]
         self.compatible: dict[tuple[int, int], bool] = {}
 
-    def _seam(self, left: int, right: int) -> bool:
-        """Whether no merge across the seam would come before the merges that made left and right."""
-        before = len(self.length)
+    def _seam(self, left: int, right: int, before: int) -> bool:
+        """Whether no merge across the seam, of a rank under ``before``, would come before the merges that made left and right."""
         while True:
             made = self.made.get((left, right))
             if made is not None and made < before:
@@ -74,7 +77,7 @@ class BacktrackEncoder:
         if known is None:
             if len(self.compatible) >= TABLE_ROWS:
                 self.compatible.clear()
-            known = self.compatible[left, right] = self._seam(left, right)
+            known = self.compatible[left, right] = self._seam(left, right, len(self.length))
         return known
 
     def encode(self, atoms: list[int]) -> list[int]:
@@ -130,7 +133,7 @@ class WordBpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.library = Tokenizer.from_file(path)
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.known: dict[str, bytes] = {}
+        self.known: Recent = Recent(TABLE_ROWS)
         # the offset table: token k is blob[offset[k]:offset[k + 1]], each with the space that joins it to the next
         by_id = sorted([(i, s) for s, i in (vocab | self.special).items()])
         if [i for i, _ in by_id] != list(range(len(by_id))):
@@ -150,16 +153,11 @@ class WordBpe:
         else:
             split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             words = [bytes(self.byte_of[c] for c in letters).decode() for letters, _ in split]
-        known = self.known
-        if len(known) > TABLE_ROWS:
-            known.clear()
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            out.append(ids)
-        return out
+        known = self.known.young
+        return [known.get(word) or self._look_up(word) for word in words]
+
+    def _look_up(self, word: str) -> bytes:
+        return self.known.get(word) or self.known.put(word, self._word(word))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids as little-endian unsigned 32-bit numbers. Special tokens written in a text are found before anything else."""

@@ -49,6 +49,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, (doc_id, raw): the UTF-8 bytes of each text. Other columns are pruned, so that no name can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
@@ -58,3 +63,24 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Of each batch of :func:`texts_of`, the ids and the texts as bytes (None stays None)."""
     for batch in batches:
         yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+
+
+class Recent:
+    """A bounded table of results. When its younger half is full it becomes the older one; what is asked for again moves back."""
+
+    def __init__(self, rows: int):
+        self.half, self.young, self.old = rows // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value

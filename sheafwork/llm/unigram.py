@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafwork.llm.common import prepare, rows_of, texts_of
+from sheafwork.llm.common import Recent, prepare, rows_of, texts_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Entries of the table of words; a full table is emptied, which changes the time only.
+#: Entries of the table of recent words, which changes the time only.
 TABLE_ROWS = 300_000
 #: White space as the tokenizers library sees it; Python's split() also takes U+001C to U+001F.
 _SPACES = re.compile("[^\t-\r \x85\xa0  -     　]+")
@@ -72,7 +72,7 @@ class UnigramCounter:
     def __init__(self, scored: list[tuple[str, float]]):
         self.automaton = _automaton(scored)
         self.unknown = min(score for _, score in scored) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
+        self.known: Recent = Recent(TABLE_ROWS)
 
     def count_word(self, word: str) -> tuple[float, int]:
         """(best score, pieces) of a word that already has its mark."""
@@ -96,18 +96,16 @@ class UnigramCounter:
         return best[n], pieces[n]
 
     def count(self, text: str) -> int:
-        known = self.known
-        if len(known) > TABLE_ROWS:
-            known.clear()
+        known = self.known.young
         words = _SPACES.findall(text) if _MORE_SPACES.search(text) else text.split()
-        total = 0
-        for word in words:
-            n = known.get(word)
-            if n is None:
-                marked = word if word.startswith(MARK) else MARK + word
-                n = known[word] = sum(self.count_word(part)[1] for part in re.findall(f"{MARK}[^{MARK}]*", marked))
-            total += n
-        return total
+        return sum([known.get(word) or self._look_up(word) for word in words])
+
+    def _look_up(self, word: str) -> int:
+        n = self.known.get(word)
+        if n is None:
+            marked = word if word.startswith(MARK) else MARK + word
+            n = self.known.put(word, sum(self.count_word(part)[1] for part in re.findall(f"{MARK}[^{MARK}]*", marked)))
+        return n
 
 
 @lru_cache(maxsize=2)
@@ -143,21 +141,22 @@ TRAIN_ROUNDS = 3
 FLOOR = 1e-7
 #: Words of evidence that count in full; beyond them the log-odds are scaled, so that the score tells mixed texts from plain ones.
 EVIDENCE_WORDS = 25
+#: After training a piece of several characters stays in the model if some language uses it more often than this.
+LEAST_PROBABILITY = 1e-6
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Characters after which a running probability is scaled, and the longest run of letters that is scored as one word.
+#: The longest run of letters that is scored as one word.
 _LONGEST = 64
 
 
 def letter_words(text: str) -> list[str]:
-    """Lower-cased runs of letters with a leading mark; a run of over 64 letters is cut, so that no probability can vanish."""
-    out = []
-    for word in _LETTERS.findall(text.lower()):
-        if len(word) <= _LONGEST:
-            out.append(MARK + word)
-        else:
-            out += [MARK + word[:_LONGEST], *(word[k : k + _LONGEST] for k in range(_LONGEST, len(word), _LONGEST))]
-    return out
+    """Lower-cased runs of letters."""
+    return _LETTERS.findall(text.lower())
+
+
+def marked_parts(word: str) -> list[str]:
+    """The word with a leading mark; a run of over 64 letters in parts, so that no probability can vanish."""
+    return [MARK + word[:_LONGEST], *(word[k : k + _LONGEST] for k in range(_LONGEST, len(word), _LONGEST))]
 
 
 def _expected(automaton: ahocorasick.Automaton, word: str, p: dict[str, float], n: float, into: dict[str, float]) -> None:
@@ -203,50 +202,49 @@ class LanguageModel:
             for _ in range(rounds):
                 uses: dict[str, float] = defaultdict(float)
                 for word in sorted(counts[language]):
-                    _expected(automaton, word, p, counts[language][word], uses)
+                    for part in marked_parts(word):
+                        _expected(automaton, part, p, counts[language][word], uses)
                 total = sum(uses.values()) or 1.0
                 p = {piece: max(FLOOR, n / total) for piece, n in uses.items()}
             fitted.append(p)
-        pieces = {x: tuple(p.get(x, FLOOR) for p in fitted) for x in sorted(set().union(*fitted))} if fitted else {}
+        shown = sorted({x for p in fitted for x, q in p.items() if q > LEAST_PROBABILITY})
+        pieces = {x: tuple(p.get(x, FLOOR) for p in fitted) for x in shown}
         return cls(languages, pieces, path)
 
     def _word(self, word: str) -> tuple[float, ...]:
         """Log-probability of a word in each language, summed over all its segmentations."""
-        n = len(self.languages)
-        floor = (FLOOR,) * n
-        ways: list[list[float]] = [[1.0] * n, *[[0.0] * n for _ in word]]
-        for k, found in enumerate(_by_start(self._ready, word)):
-            here = ways[k]
-            single = False
-            for end, p in found:
-                single |= end == k + 1
-                to = ways[end]
-                for i in range(n):
-                    to[i] += here[i] * p[i]
-            if not single:
-                to = ways[k + 1]
-                for i in range(n):
-                    to[i] += here[i] * floor[i]
-        return tuple(map(math.log, ways[-1]))
+        size = len(word)
+        arcs, single = [], bytearray(size)
+        for last, (length, p) in self._ready.iter(word):
+            arcs.append((last + 1 - length, last + 1, p))
+            if length == 1:
+                single[last] = 1
+        if 0 in single:
+            arcs += [(k, k + 1, self._floor) for k in range(size) if not single[k]]
+            arcs.sort(key=lambda arc: arc[1])
+        out = []
+        for i in range(len(self.languages)):  # arcs come by their ends, so a place is complete before an arc leaves it
+            ways = [1.0, *[0.0] * size]
+            for start, end, p in arcs:
+                ways[end] += ways[start] * p[i]
+            out.append(math.log(ways[size]))
+        return tuple(out)
+
+    def _look_up(self, word: str) -> tuple[float, ...]:
+        return self._known.get(word) or self._known.put(word, tuple(map(sum, zip(*map(self._word, marked_parts(word)), strict=True))))
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, score): the most probable language, ties to the first by name, and its share of the scaled likelihoods."""
         if self._ready is None:
-            floor = (FLOOR,) * len(self.languages)
-            self._ready, self._known = _automaton((p, self.pieces.get(p, floor)) for p in vocabulary(self.path)), {}
+            self._floor = (FLOOR,) * len(self.languages)
+            singles = {p: self._floor for p in vocabulary(self.path) if len(p) == 1}
+            self._ready, self._known = _automaton((singles | self.pieces).items()), Recent(TABLE_ROWS)
         words = letter_words(text)
         if not words or not self.languages:
             return UNDETERMINED, 0.0
-        known = self._known
-        if len(known) > TABLE_ROWS:
-            known.clear()
-        total = [0.0] * len(self.languages)
-        for word, n in Counter(words).items():
-            p = known.get(word)
-            if p is None:
-                p = known[word] = self._word(word)
-            for i, x in enumerate(p):
-                total[i] += n * x
+        known = self._known.young
+        vectors = [known.get(word) or self._look_up(word) for word in words]
+        total = [math.fsum(column) for column in zip(*vectors, strict=True)]
         scale = min(1.0, EVIDENCE_WORDS / len(words))
         top = max(total)
         score = 1 / sum(math.exp((x - top) * scale) for x in total)
