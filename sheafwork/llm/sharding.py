@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import delete_folder, prepare, shared_folder
+from sheafwork.llm.common import delete_folder, folder_exists, prepare, shared_folder
 
 TARGET_BYTES = 128 << 20
 #: Growth of a tier's sizes, and the number of runs of a tier that a merge needs at least.
@@ -89,11 +89,12 @@ class Store:
 
     def vacuum(self, version: int) -> None:
         """Removes the runs that only versions before ``version`` name, and then those versions."""
-        for old in range(1, version):
+        older = [v for v in range(1, version) if folder_exists(self.spark, f"{self.root}/manifest/v{v:06d}")]
+        for old in older:
             dead = self.manifest(old).select("run").distinct().join(self.manifest(version).select("run").distinct(), "run", "left_anti")
             for row in dead.collect():
                 delete_folder(self.spark, row["run"])
-        for old in range(1, version):
+        for old in older:
             delete_folder(self.spark, f"{self.root}/manifest/v{old:06d}")
 
 
