@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,11 +22,17 @@ def _number(text: Column, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, NUMERIC, group), F.lit("")).try_cast("int")
 
 
+def _named_month(low: Column, names: list[str]) -> Column:
+    """The first month by calendar of the names that occur as words; one pattern finds them all."""
+    found = F.regexp_extract_all(low, F.lit(rf"(?U)\b({'|'.join(names)})\b"), 1)
+    calendar_place = F.array(*map(F.lit, names))
+    return F.array_min(F.transform(found, lambda name: F.array_position(calendar_place, name))).cast("int")
+
+
 def _written_month(text: Column) -> Column:
     """The first month by calendar whose full name occurs as a word, else the first whose short name does."""
     low = F.lower(text)
-    names = [(name, k + 1) for forms in (_FULL, _SHORT) for k, name in enumerate(forms)]
-    return F.coalesce(*[F.when(low.rlike(rf"(?U)\b{name}\b"), F.lit(k)) for name, k in names])
+    return F.coalesce(_named_month(low, _FULL), _named_month(low, _SHORT))
 
 
 def _numeric_month(text: Column) -> Column:
@@ -33,27 +40,37 @@ def _numeric_month(text: Column) -> Column:
     return F.when(month.between(1, 12) & day.between(1, 31), month)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _month_of(text: Column) -> Column:
+    return F.when(text.rlike(NUMERIC), _numeric_month(text)).otherwise(_written_month(text))
+
+
 def parse_month(x: Column | str) -> Column:
     """The month of ``M/D/Y`` or ``M-D-Y``, or of a date in words. A numeric date out of range does not fall back to words."""
-    text = _text(x)
-    return F.when(text.rlike(NUMERIC), _numeric_month(text)).otherwise(_written_month(text))
+    return _let(_text(x), _month_of)
 
 
-def parse_year_month(x: Column | str) -> Column:
-    """struct(year, month) or null. Years below 100 count from 2000; a date in words needs a year from 1900 to 2099 as a word."""
-    text = _text(x)
+def _year_of(text: Column) -> Column:
     short = _number(text, 3)
-    year = F.when(short < 100, short + 2000).otherwise(short)
     written = F.nullif(F.regexp_extract(text, r"(?U)\b((?:19|20)\d{2})\b", 1), F.lit("")).try_cast("int")
-    month = parse_month(text)
-    year = F.when(text.rlike(NUMERIC), year).otherwise(written)
-    return F.when(month.isNotNull() & year.isNotNull(), F.struct(year.alias("year"), month.alias("month")))
+    return F.when(text.rlike(NUMERIC), F.when(short < 100, short + 2000).otherwise(short)).otherwise(written)
+
+
+def parse_year_month(x: Column | str) -> Column:
+    """struct(year, month) or null. Years below 100 count from 2000; a date in words needs a year from 1900 to 2099 as a word."""
+    both = lambda text: F.struct(_year_of(text).alias("year"), _month_of(text).alias("month"))
+    whole = lambda found: F.when(found["year"].isNotNull() & found["month"].isNotNull(), found)
+    return _let(_let(_text(x), both), whole)
 
 
 def round_label(x: Column | str) -> Column:
     """``YYYY-MM`` or ``undated``."""
-    found = parse_year_month(x)
-    return F.coalesce(F.when(found.isNotNull(), F.format_string("%04d-%02d", found["year"], found["month"])), F.lit(UNDATED))
+    label = lambda found: F.when(found.isNotNull(), F.format_string("%04d-%02d", found["year"], found["month"]))
+    return F.coalesce(_let(parse_year_month(x), label), F.lit(UNDATED))
 
 
 def month_name(month: Column | str) -> Column:

@@ -6,7 +6,7 @@ exact). Fuzzy findings keep their multiplicity: a page token that resembles two
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions import fuzzy
@@ -33,31 +33,43 @@ def exact_findings(pages: DataFrame, names: DataFrame) -> DataFrame:
     return pages.join(names, "token").select("file_id", "page_idx", "sid", "token", F.lit(True).alias("exact"))
 
 
-def _name_pieces(name_words: DataFrame) -> DataFrame:
-    """(name, size, piece): for each length that a similar token can have, pieces of which one stands unchanged in the token.
+#: Letters from rare to frequent. Any order gives the same pairs; this one lets few tokens meet.
+_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate'"
 
-    A ratio of 80 means at most k = (m + n) / 5 insertions and deletions for lengths m and n. Each harms at most one of k + 1 pieces.
+
+def _elements(token: str) -> Column:
+    """The multiset of a token's letters as strings, the second a as ``a2``, in an order that is the same for all tokens."""
+    letters = F.filter(F.split(token, ""), lambda c: c != "")
+    count = lambda c, i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c))
+    keyed = F.transform(letters, lambda c, i: F.struct((-count(c, i)).alias("nth"), F.array_position(F.split(F.lit(_RARE_FIRST), ""), c).alias("place"), c.alias("c")))
+    return F.transform(F.sort_array(keyed), lambda x: F.concat(x["c"], (-x["nth"]).cast("string")))
+
+
+def _prefixes(words: DataFrame, own: str) -> DataFrame:
+    """(word, letters, own length, other length, element): the first letters of each word, enough for each length of a partner.
+
+    Words of m and n letters with a ratio of 80 share t = 2 (m + n) / 5 letters or more, counted as multisets. Of letters in a fixed
+    order the first m - t + 1 of one and n - t + 1 of the other must then have one in common.
     """
-    n = F.length("name")
-    sized = name_words.select("name", F.explode(F.sequence(F.ceil(n / 1.5).cast("int"), F.floor(n * 1.5).cast("int"))).alias("size"))
-    sized = sized.withColumn("parts", F.floor((n + F.col("size")) / 5).cast("int") + 1)
-    cut = lambda i: F.floor(i * F.length("name") / F.col("parts")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.substr(F.col("name"), cut(i) + 1, cut(i + 1) - cut(i)))
-    return sized.select("name", "size", F.explode(F.array_distinct(pieces)).alias("piece")).where(F.length("piece") > 0)
+    other = "n" if own == "m" else "m"
+    rows = words.withColumn("letters", _elements("word")).withColumn(own, F.size("letters"))
+    rows = rows.withColumn(other, F.explode(F.sequence(F.ceil(F.col(own) / 1.5).cast("int"), F.floor(F.col(own) * 1.5).cast("int"))))
+    needed = F.ceil((F.col("m") + F.col("n")) * 2 / 5).cast("int")
+    rows = rows.withColumn("needed", needed).where(F.col("needed") <= F.least("m", "n"))
+    return rows.select("word", "letters", "m", "n", "needed", F.explode(F.slice("letters", F.lit(1), F.col(own) - F.col("needed") + 1)).alias("element"))
 
 
 def fuzzy_pairs(page_words: DataFrame, name_words: DataFrame) -> DataFrame:
     """(token, name) of distinct tokens with a ratio of at least LEAST_RATIO.
 
-    Candidates meet on length and a shared piece, an equality join that loses no pair; a name in which some length leaves only empty
-    pieces cannot occur, as the pieces of five letters and more hold one letter at least. The ratio is computed for candidates only.
+    Candidates meet in an equality join on both lengths and a letter of their prefixes, which loses no pair. Those with enough letters
+    in common, whatever their order, are compared.
     """
-    pieces = _name_pieces(name_words)
-    sizes = F.sequence(F.lit(1), F.lit(3))
-    grams = F.transform(sizes, lambda g: F.transform(F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substr(F.col("token"), i, g)))
-    parts = page_words.select("token", F.length("token").alias("size"), F.explode(F.array_distinct(F.flatten(grams))).alias("piece"))
-    candidates = parts.join(pieces, ["size", "piece"]).select("token", "name").distinct()
-    return candidates.where(fuzzy.ratio("token", "name") >= LEAST_RATIO)
+    tokens = _prefixes(page_words.select(F.col("token").alias("word")), "m").withColumnsRenamed({"word": "token", "letters": "token_letters"})
+    names = _prefixes(name_words.select(F.col("name").alias("word")), "n").withColumnsRenamed({"word": "name", "letters": "name_letters"}).drop("needed")
+    met = tokens.join(names, ["m", "n", "element"])
+    enough = F.size(F.array_intersect("token_letters", "name_letters")) >= F.col("needed")
+    return met.where(enough).select("token", "name").distinct().where(fuzzy.ratio("token", "name") >= LEAST_RATIO)
 
 
 def fuzzy_findings(pages: DataFrame, names: DataFrame) -> DataFrame:

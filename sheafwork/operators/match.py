@@ -58,13 +58,11 @@ def top_candidates(pairs: DataFrame, k: int = 5) -> DataFrame:
     return ranked(pairs).where(F.col("rank") <= k)
 
 
-def _best_two(pairs: DataFrame, *fields: str) -> DataFrame:
-    """The best two entries of each packet without a sort of all: an aggregate of the largest, and of the largest of the others."""
-    key = F.struct(F.col("score"), (-F.col("entry_ord")).alias("place"))
-    first = pairs.groupBy("file_id", "tag").agg(F.max(F.struct(key.alias("key"), *fields)).alias("top"))
-    rest = pairs.join(first.select("file_id", "tag", F.col("top.key").alias("_key")), ["file_id", "tag"]).where(key < F.col("_key"))
-    second = rest.groupBy("file_id", "tag").agg(F.max("score").alias("runner_up"))
-    return first.join(second, ["file_id", "tag"], "left")
+def _best_two(pairs: DataFrame, field: str) -> DataFrame:
+    """(file_id, tag, best, best_score, runner_up): the first two ranks in one pass; tasks keep two rows a packet before the shuffle."""
+    two = ranked(pairs).where(F.col("rank") <= 2)
+    of = lambda column, rank: F.max(F.when(F.col("rank") == rank, F.col(column)))
+    return two.groupBy("file_id", "tag").agg(of(field, 1).alias("best"), of("score", 1).alias("best_score"), of("score", 2).alias("runner_up"))
 
 
 def propose(probes: DataFrame, roster: DataFrame, held: DataFrame | None = None, scorer: Scorer = fuzzy.name_score, by: list[str] | None = None) -> DataFrame:
@@ -75,13 +73,12 @@ def propose(probes: DataFrame, roster: DataFrame, held: DataFrame | None = None,
     """
     best = _best_two(score_pairs(probes, roster, scorer, by), "sid")
     out = probes.join(best, ["file_id", "tag"], "left")
-    score = F.col("top.key.score")
-    out = out.withColumns({"top_sid": F.col("top.sid"), "top_score": score, "margin": F.coalesce(score - F.coalesce("runner_up", F.lit(0.0)), F.lit(0.0))}).drop("top")
+    margin = F.coalesce(F.col("best_score") - F.coalesce("runner_up", F.lit(0.0)), F.lit(0.0))
+    out = out.withColumn("margin", margin).withColumnsRenamed({"best": "top_sid", "best_score": "top_score"})
     if held is None:
         return out.withColumns({"held_name": F.lit(None).cast("string"), "held_score": F.lit(None).cast("double"), "is_held_match": F.lit(False)})
     pairs = score_pairs(probes, held.withColumn("full_name", F.concat_ws(" ", "first_name", "last_name")), scorer, by)
-    held_best = pairs.groupBy("file_id", "tag").agg(F.max(F.struct("score", (-F.col("entry_ord")).alias("place"), "full_name")).alias("h"))
-    held_best = held_best.select("file_id", "tag", F.col("h.full_name").alias("held_name"), F.col("h.score").alias("held_score"))
+    held_best = _best_two(pairs, "full_name").select("file_id", "tag", F.col("best").alias("held_name"), F.col("best_score").alias("held_score"))
     out = out.join(held_best, ["file_id", "tag"], "left")
     wins = F.col("held_score").isNotNull() & (F.col("top_score").isNull() | (F.col("held_score") >= F.col("top_score")))
     return out.withColumn("is_held_match", wins)

@@ -21,25 +21,30 @@ def round_groups(dated: DataFrame) -> DataFrame:
 
     A change of label opens a round only if the next dated packet does not return to the label before. Among dated packets a row is
     a candidate for a stray label if its neighbours agree and it does not; of a run of candidates every other one, from the first
-    on, is a stray, since the one after it belongs to the old label again. Windows only: one sort per file.
+    on, is a stray, since the one after it belongs to the old label again. A round's label is its most frequent one, the first seen
+    of equal ones. Windows over one distribution by file, and nothing is computed twice.
     """
-    own = D.round_label("date_text")
-    rows = dated.withColumn("own_label", F.when(own != D.UNDATED, own))
-    order = Window.partitionBy("file_id").orderBy("ord")
-    some = rows.where("own_label IS NOT NULL")
-    before, after = F.lag("own_label").over(order), F.lead("own_label").over(order)
-    marked = some.withColumns({"before": before, "stray": F.coalesce((before == after) & (F.col("own_label") != before), F.lit(False))})
-    marked = marked.withColumn("run", F.sum(F.when(F.col("stray"), 0).otherwise(1)).over(order))
-    place = F.row_number().over(Window.partitionBy("file_id", "run", "stray").orderBy("ord"))
-    marked = marked.withColumn("absorbed", F.col("stray") & (place % 2 == 1))
-    opens = (F.col("own_label") != F.col("before")) & ~F.col("absorbed") & ~F.lag("absorbed", 1, False).over(order)
-    marked = marked.select("file_id", "ord", F.coalesce(opens, F.lit(False)).alias("opens"))
-    rows = rows.join(marked, ["file_id", "ord"], "left")
-    rows = rows.withColumn("group_id", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order)).drop("opens")
-    votes = rows.where("own_label IS NOT NULL").groupBy("file_id", "group_id", "own_label").agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
-    most = votes.groupBy("file_id", "group_id").agg(F.max_by("own_label", F.struct(F.col("n"), -F.col("seen"))).alias("label"))
-    joined = rows.join(most, ["file_id", "group_id"], "left")
-    return joined.withColumn("label", F.coalesce("label", F.lit(D.UNDATED)))
+    file = Window.partitionBy("file_id")
+    order, back = file.orderBy("ord"), file.orderBy(F.desc("ord"))
+    until = Window.unboundedPreceding
+    rows = dated.withColumn("own_label", F.nullif(D.round_label("date_text"), F.lit(D.UNDATED)))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(until, -1))
+    rows = rows.withColumns({"_before": last("own_label", order), "_after": last("own_label", back)})
+    stray = (F.col("_before") == F.col("_after")) & (F.col("own_label") != F.col("_before"))
+    rows = rows.withColumn("_stray", F.coalesce(stray, F.lit(False)))
+    dated_row = F.col("own_label").isNotNull()
+    rows = rows.withColumn("_run", F.sum(F.when(dated_row & ~F.col("_stray"), 1).otherwise(0)).over(order))
+    place = F.sum(F.when(F.col("_stray"), 1).otherwise(0)).over(Window.partitionBy("file_id", "_run").orderBy("ord"))
+    rows = rows.withColumn("_absorbed", F.when(dated_row, F.col("_stray") & (place % 2 == 1)))
+    after_absorbed = F.coalesce(last("_absorbed", order), F.lit(False))
+    opens = F.coalesce((F.col("own_label") != F.col("_before")) & ~F.col("_absorbed") & ~after_absorbed, F.lit(False))
+    rows = rows.withColumn("_opens", opens).withColumn("group_id", F.sum(F.when(F.col("_opens"), 1).otherwise(0)).over(order))
+    same = Window.partitionBy("file_id", "group_id", "own_label")
+    rank = F.when(dated_row, F.struct(F.count("*").over(same).alias("n"), (-F.min("ord").over(same)).alias("seen")))
+    rows = rows.withColumn("_rank", rank)
+    most = F.max_by("own_label", "_rank").over(Window.partitionBy("file_id", "group_id"))
+    rows = rows.withColumn("label", F.coalesce(most, F.lit(D.UNDATED)))
+    return rows.drop("_before", "_after", "_stray", "_run", "_absorbed", "_opens", "_rank")
 
 
 def disagrees() -> Column:
