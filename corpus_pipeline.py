@@ -18,21 +18,19 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality cascade keeps; null and empty texts go."""
-    return quality.quality_cascade(docs).where("_kept").select(*docs.columns)
+    return quality.quality_kept(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; the model learns from the labelled documents of this stage's own input."""
-    model = unigram.train_language_model(docs)
-    told = (F.col("_lang_pred") != unigram.UNDETERMINED) & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)
-    return unigram.with_language(docs, model).where(told).select(*docs.columns)
+    return unigram.told_rows(docs, unigram.train_language_model(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicates, the document with the smallest doc_id, once. Of rows without an id one stays."""
     found = simhash.simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int =
     """docs with ``_t``, ``_q`` and the verdicts ``_base_failed`` and ``_kept``.
 
     Null and empty texts have no words and fail. Repeated rows are judged alike, ties cannot occur, and an empty table stays empty.
-    Columns of docs whose names begin with an underscore followed by t, q, base_failed or kept are replaced.
+    Columns of docs that have one of these names are replaced; :func:`quality_kept` and :func:`quality_report` are free of that.
     """
     stats = text_statistics(docs, text_col)
     rules = plan_cascade(docs, further_rules(), text_col, sample_rows)
@@ -147,6 +147,12 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int =
     return judged.withColumn("_kept", kept & (F.spark_partition_id() >= 0))
 
 
+def quality_kept(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that the cascade keeps, with all their columns, whatever these are called."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    return quality_cascade(packed, "text", sample_rows).where("_kept").select("row.*")
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     pruned = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

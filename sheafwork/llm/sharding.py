@@ -118,7 +118,7 @@ def sharded_digest(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFra
     store, version = shard_table(docs, target_bytes=target_bytes)
     text = F.col("text").cast("string")
     back = store.read(version, docs)
-    return back.select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"))
+    return back.select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 DIGEST_SQL = "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5 FROM documents"

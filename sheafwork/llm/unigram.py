@@ -21,7 +21,6 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheafwork.llm.common import Recent, prepare, rows_of, texts_of
 
@@ -283,19 +282,17 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def with_language(texts: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of texts with two more columns, ``_lang_pred`` and ``_lang_score``."""
+def told_rows(texts: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is told with at least a score, with all their columns, whatever these are called."""
     prepare(texts.sparkSession)
     place = texts.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t or "") for t in batch.column(place).to_pylist()]
-            more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_lang_pred", "_lang_score"])
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_()))
 
-    schema = T.StructType([*texts.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, texts.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -51,13 +51,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    narrow = rows.select("id", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").alias("n")).checkpoint()
+    narrow = rows.select("id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("n")).checkpoint()
     mean = narrow.agg(F.avg("n")).first()[0]
     least = narrow.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL")
     groups = f"{folder}-copies"
     least.select("sha1", "first").write.parquet(groups)
     copies = spark.read.schema("sha1 string, first long").parquet(groups)
-    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
+    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     revisits = narrow.join(copies, "sha1").where("id <> first OR id IS NULL").select("sha1", "id", "first").distinct()
     revisits.write.parquet(f"{groups}-ids")
     marked = spark.read.schema("sha1 string, id long, first long").parquet(f"{groups}-ids").withColumnRenamed("sha1", "s").withColumnRenamed("id", "i")

@@ -1,5 +1,7 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from sheafwork.llm import pii, unigram
 
@@ -69,3 +71,18 @@ def test_empty_table(spark):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, "").count() == 0
     assert C.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["_t", "_q", "_w", "_kept", "_base_failed", "kept_id", "row", "_lang_pred", "component_id", "fp", "raw"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = {r["doc_id"] for r in C.STAGES[2][1](spark, C.STAGES[1][1](spark, C.STAGES[0][1](spark, docs, ""), ""), "").collect()}
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for stage_name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns[5:] == names, stage_name
+    rows = docs.collect()
+    assert {r["doc_id"] for r in rows} == plain
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert C.STAGES[-1][1](spark, docs, "").count() >= len(rows)
