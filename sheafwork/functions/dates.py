@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import calendar
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheafwork.functions.binding import let
+
 NUMERIC = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
 UNDATED = "undated"
 _FULL = [m.lower() for m in calendar.month_name[1:]]
@@ -40,18 +41,13 @@ def _numeric_month(text: Column) -> Column:
     return F.when(month.between(1, 12) & day.between(1, 31), month)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _month_of(text: Column) -> Column:
     return F.when(text.rlike(NUMERIC), _numeric_month(text)).otherwise(_written_month(text))
 
 
 def parse_month(x: Column | str) -> Column:
     """The month of ``M/D/Y`` or ``M-D-Y``, or of a date in words. A numeric date out of range does not fall back to words."""
-    return _let(_text(x), _month_of)
+    return let(_text(x), _month_of)
 
 
 def _year_of(text: Column) -> Column:
@@ -64,13 +60,13 @@ def parse_year_month(x: Column | str) -> Column:
     """struct(year, month) or null. Years below 100 count from 2000; a date in words needs a year from 1900 to 2099 as a word."""
     both = lambda text: F.struct(_year_of(text).alias("year"), _month_of(text).alias("month"))
     whole = lambda found: F.when(found["year"].isNotNull() & found["month"].isNotNull(), found)
-    return _let(_let(_text(x), both), whole)
+    return let(let(_text(x), both), whole)
 
 
 def round_label(x: Column | str) -> Column:
     """``YYYY-MM`` or ``undated``."""
     label = lambda found: F.when(found.isNotNull(), F.format_string("%04d-%02d", found["year"], found["month"]))
-    return F.coalesce(_let(parse_year_month(x), label), F.lit(UNDATED))
+    return F.coalesce(let(parse_year_month(x), label), F.lit(UNDATED))
 
 
 def month_name(month: Column | str) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.functions.binding import let
+
 #: Characters that fit the masks without overflow in a signed 64-bit sum.
 MASK_CHARS = 61
 
@@ -27,16 +29,22 @@ def _chars(x: Column) -> Column:
 
 
 def _lcs_masks(short: Column, other: Column) -> Column:
-    """Length of the longest common subsequence of two character arrays; ``short`` has at most MASK_CHARS."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(short)) - F.lit(1)
+    """Length of the longest common subsequence of two character arrays; ``short`` has at most MASK_CHARS.
+
+    The places of each character of ``short`` are a bit mask, made once; a step looks the mask of its character up.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    letters = F.array_distinct(short)
+    bits = lambda c: F.transform(short, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(none))
+    masks = F.map_from_arrays(letters, F.transform(letters, lambda c: F.aggregate(bits(c), none, lambda a, b: a.bitwiseOR(b))))
+    full = F.call_function("shiftleft", one, F.size(short)) - one
 
-    def step(s: Column, c: Column) -> Column:
-        bits = F.transform(short, lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        u = s.bitwiseAND(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
-        return (s + u).bitwiseOR(s.bitwiseAND(F.bitwise_not(u))).bitwiseAND(full)
+    def folded(bound: Column) -> Column:
+        step = lambda s, m: let(s.bitwiseAND(m), lambda u: (s + u).bitwiseOR(s.bitwiseAND(F.bitwise_not(u))).bitwiseAND(bound["full"]))
+        of_other = F.transform(other, lambda c: F.coalesce(F.try_element_at(bound["masks"], c), none))
+        return F.size(short) - F.bit_count(F.aggregate(of_other, bound["full"], step)).cast("int")
 
-    ones = F.aggregate(other, full, step)
-    return F.size(short) - F.bit_count(ones).cast("int")
+    return let(F.struct(masks.alias("masks"), full.alias("full")), folded)
 
 
 def _lcs_rows(a: Column, b: Column) -> Column:
@@ -55,14 +63,22 @@ def _lcs_rows(a: Column, b: Column) -> Column:
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:
     """Length of the longest common subsequence of two texts."""
-    x, y = _chars(_col(a)), _chars(_col(b))
-    return F.when(F.size(x) <= MASK_CHARS, _lcs_masks(x, y)).when(F.size(y) <= MASK_CHARS, _lcs_masks(y, x)).otherwise(_lcs_rows(x, y))
+
+    def of(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        return F.when(F.size(x) <= MASK_CHARS, _lcs_masks(x, y)).when(F.size(y) <= MASK_CHARS, _lcs_masks(y, x)).otherwise(_lcs_rows(x, y))
+
+    return let(F.struct(_chars(_col(a)).alias("x"), _chars(_col(b)).alias("y")), of)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     """100 * 2 * LCS / (length + length); 100 for two empty texts."""
-    total = F.length(_col(a)) + F.length(_col(b))
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / total)
+
+    def of(pair: Column) -> Column:
+        total = F.length(pair["a"]) + F.length(pair["b"])
+        return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(pair["a"], pair["b"]) / total)
+
+    return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), of)
 
 
 def sorted_tokens(x: Column | str) -> Column:
@@ -180,12 +196,17 @@ def name_score(probe: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series
 
 
 def native_name_score(probe: Column | str, first: Column | str, last: Column | str) -> Column:
-    """The name score with plain and token-sorted ratios only, built in."""
+    """The name score with plain and token-sorted ratios only, built in. A form that several variants share is compared once."""
     from sheafwork.functions.text import name_variants, normalize_name, too_short_to_read
 
+    def of(text: Column) -> Column:
+        plain = F.transform(name_variants(first, last), lambda v: ratio(text["plain"], v))
+        ordered = F.transform(F.array_distinct(F.transform(name_variants(first, last), sorted_tokens)), lambda v: ratio(text["ordered"], v))
+        return F.array_max(F.concat(plain, ordered))
+
     text = normalize_name(probe)
-    scores = F.transform(name_variants(first, last), lambda v: F.greatest(ratio(text, v), token_sort_ratio(text, v)))
-    return F.when(too_short_to_read(probe), F.lit(0.0)).otherwise(F.coalesce(F.array_max(scores), F.lit(0.0)))
+    best = let(F.struct(text.alias("plain"), sorted_tokens(text).alias("ordered")), of)
+    return F.when(too_short_to_read(probe), F.lit(0.0)).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
 # Fixed value of the DuckDB statement: the masks of the left text and the recurrence over the right one.

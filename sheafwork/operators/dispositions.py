@@ -65,9 +65,9 @@ def decide(
     """
     rows = packets.join(decisions.select("tag", "sid", F.lit(True).alias("decided")), "tag", "left")
     rows = rows.join(ledger.select("tag", F.col("sid").alias("old_sid"), F.col("path").alias("old_path")), "tag", "left")
-    rows = rows.join(mark(roster, ["sid"], "known"), "sid", "left")
     for table, name in ((held_matches, "held"), (undetected, "borderless"), (leaks, "leaking"), (detection_overrides, "seen"), (composition_overrides, "confirmed")):
         rows = rows.join(mark(table, ["tag"], name), "tag", "left")
+    rows = rows.join(mark(roster, ["sid"], "known"), "sid", "left")  # last, so that the joins by tag share one distribution
     decided, issues = _flag("decided"), F.coalesce(F.size("issues"), F.lit(0)) > 0
     rejected = decided & F.col("sid").isNull()
     recorded = F.col("old_path").isNotNull()
@@ -135,9 +135,9 @@ def clear_queue(queue: DataFrame, tags: DataFrame) -> DataFrame:
 
 def release(queue: DataFrame, roster: DataFrame, uncovered: DataFrame, leaks: DataFrame, ledger: DataFrame) -> DataFrame:
     """What releasing each queued packet gives. ``uncovered`` and ``leaks`` hold tags. Gates: roster, flagged regions, leaks."""
-    rows = queue.join(mark(roster, ["sid"], "known"), "sid", "left")
-    rows = rows.join(mark(uncovered, ["tag"], "open"), "tag", "left").join(mark(leaks, ["tag"], "leaking"), "tag", "left")
+    rows = queue.join(mark(uncovered, ["tag"], "open"), "tag", "left").join(mark(leaks, ["tag"], "leaking"), "tag", "left")
     rows = rows.join(ledger.select("tag", F.col("path").alias("old_path")), "tag", "left").withColumn("ord", F.col("tag"))
+    rows = rows.join(mark(roster, ["sid"], "known"), "sid", "left")
     reason = F.when(~_flag("known"), "not_on_roster").when(_flag("open"), "flagged_region_uncovered").when(_flag("leaking"), "leak").otherwise("ok")
     rows = rows.withColumn("release_reason", reason)
     done = claim_paths(rows.where("release_reason = 'ok'"))

@@ -41,12 +41,13 @@ def score_pairs(probes: DataFrame, entries: DataFrame, scorer: Scorer = fuzzy.na
     ship_package(probes.sparkSession)
     keys = list(by or [])
     keyed = probes.withColumn("_text", X.normalize_name(F.coalesce("name_text", F.lit(""))))
-    legible = keyed.select("_text", *keys).distinct().where(~X.too_short_to_read("_text"))
+    texts = keyed.select("_text", *keys).distinct()
     names = entries.select("first_name", "last_name", *keys).distinct()
-    scored = _beside(legible, names, keys).withColumn("score", scorer(F.col("_text"), F.col("first_name"), F.col("last_name")))
-    pairs = _beside(keyed, entries.withColumnRenamed("ord", "entry_ord"), keys)
-    joined = pairs.join(scored, ["_text", "first_name", "last_name", *keys], "left")
-    return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_text")
+    short = X.too_short_to_read("_text")
+    scored = _beside(texts.where(~short), names, keys).withColumn("score", scorer(F.col("_text"), F.col("first_name"), F.col("last_name")))
+    scored = scored.unionByName(_beside(texts.where(short), names, keys).withColumn("score", F.lit(0.0)))
+    of_packets = scored.join(keyed, ["_text", *keys])
+    return of_packets.join(entries.withColumnRenamed("ord", "entry_ord"), ["first_name", "last_name", *keys]).drop("_text")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
