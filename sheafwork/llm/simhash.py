@@ -1,11 +1,15 @@
-"""Near-duplicate detection: SimHash fingerprints linked through a vantage-point tree.
+"""Near-duplicate detection: SimHash fingerprints linked through vantage-point trees.
 
 Fingerprints are 64-bit SimHashes of three-word shingles. Two fingerprints link when they differ in at most ``radius`` bits. The
-distinct fingerprints are dealt to the leaves of a vantage-point tree: an inner node holds a vantage fingerprint and a threshold, and
+distinct fingerprints are dealt to the leaves of vantage-point trees: an inner node holds a vantage fingerprint and a threshold, and
 sends a fingerprint inward if its Hamming distance to the vantage is below the threshold. By the triangle inequality a partner on
-the other side of a threshold can exist only within ``radius`` of it, so only fingerprints that near a boundary are also sent, as
+the other side of a threshold can exist only within reach of it, so only fingerprints that near a boundary are also sent, as
 visitors, to the leaves beyond. Each leaf then finds its exact pairs with one more tree in memory. What a leaf returns is a star
 for each connected group it sees, never its pairs; the stars are joined into components over the whole table.
+
+There are two trees, one measuring distances on the lower half of the bits and one on the upper half. Of two fingerprints that differ
+in 3 bits, one half differs in at most 1, so the tree of that half needs to reach 1 bit beyond a threshold only. Distances of 64 random
+bits crowd around 32, and a reach of 3 would send most points to both sides at every level; the halves keep visitors few.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ LEAST_LEAVES = 64
 #: Fingerprints sampled per leaf to place the vantage points, and the bound of the whole sample.
 SAMPLE_PER_LEAF = 64
 SAMPLE_BOUND = 65_536
+#: Trees, each over an equal part of the bits.
+TREES = 2
 #: Sides of the blocks that are compared without further pruning.
 BLOCK_ROWS = 1024
 _CHUNK = 1 << 19
@@ -82,6 +88,11 @@ class Node:
     outer: Node | int
 
 
+def tree_masks(radius: int) -> list[tuple[int, int]]:
+    """(mask of bits, reach) of each tree; of radius differing bits, at most the reach lie in some mask."""
+    return [(0xFFFFFFFF, radius // TREES), (0xFFFFFFFF << 32, radius // TREES)]
+
+
 def _split(points: np.ndarray) -> tuple[int, int] | None:
     """The vantage point with the widest spread among a few candidates, and the median distance; None if it splits nothing."""
     tries = points[np.linspace(0, len(points) - 1, min(len(points), 12)).astype(int)]
@@ -108,9 +119,10 @@ def plan_tree(sample: np.ndarray, depth: int) -> Node | int:
     return grow(sample, depth)
 
 
-def _route(tree: Node | int, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+def _route(tree: Node | int, points: np.ndarray, mask: int, reach: int) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(leaf, points, at home). A point is at home in one leaf, and visits the leaves further out that its ball reaches."""
     todo: list[tuple[Node | int, np.ndarray, bool]] = [(tree, points, True)]
+    bits = np.uint64(mask)
     while todo:
         node, own, home = todo.pop()
         if not len(own):
@@ -118,12 +130,12 @@ def _route(tree: Node | int, points: np.ndarray, radius: int) -> Iterator[tuple[
         if isinstance(node, int):
             yield node, own, home
             continue
-        far = _far(own, np.uint64(node.vantage))
+        far = _far(own & bits, np.uint64(node.vantage))
         if home:
             todo += [(node.inner, own[far < node.threshold], True), (node.outer, own[far >= node.threshold], True)]
-            todo.append((node.outer, own[(far < node.threshold) & (far + radius >= node.threshold)], False))
+            todo.append((node.outer, own[(far < node.threshold) & (far + reach >= node.threshold)], False))
         else:
-            todo += [(node.inner, own[far - radius < node.threshold], False), (node.outer, own[far + radius >= node.threshold], False)]
+            todo += [(node.inner, own[far - reach < node.threshold], False), (node.outer, own[far + reach >= node.threshold], False)]
 
 
 def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,18 +166,19 @@ def _dense(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndar
     return np.concatenate([rows, cols[met]]), np.concatenate([rows[label], rows[of_cols[met]]])
 
 
-def _pairs(home: np.ndarray, guests: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges between positions of bits: all links of ``home`` with ``guests`` (which hold home too), up to connectivity."""
-    todo = [(home, guests)]
+def _pairs(home: np.ndarray, guests: np.ndarray, bits: np.ndarray, radius: int, mask: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges between positions of bits: all links of ``home`` with ``guests`` (which hold home too), up to connectivity, among those
+    that differ in at most ``reach`` bits of the mask."""
+    todo, seen = [(home, guests)], bits & np.uint64(mask)
     while todo:
         own, other = todo.pop()
         if not len(own) or not len(other):
             continue
-        cut = _split(bits[own]) if len(own) > BLOCK_ROWS else None
+        cut = _split(seen[own]) if len(own) > BLOCK_ROWS else None
         if cut is not None:
             vantage, threshold = np.uint64(cut[0]), cut[1]
-            near, far = _far(bits[own], vantage) < threshold, _far(bits[other], vantage)
-            todo += [(own[near], other[far - radius < threshold]), (own[~near], other[far + radius >= threshold])]
+            near, far = _far(seen[own], vantage) < threshold, _far(seen[other], vantage)
+            todo += [(own[near], other[far - reach < threshold]), (own[~near], other[far + reach >= threshold])]
             continue
         step = max(1, (1 << 22) // len(other))
         for at in range(0, len(own), step):
@@ -178,12 +191,12 @@ def _pairs(home: np.ndarray, guests: np.ndarray, bits: np.ndarray, radius: int)
                 yield _dense(hit, rows, other)
 
 
-def leaf_stars(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def leaf_stars(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, mask: int = (1 << 64) - 1, reach: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(member, centre) for each group of two or more that links of ``home`` connect; fingerprints as unsigned numbers."""
     bits = np.unique(np.concatenate([home, visitors]))
     own = np.searchsorted(bits, np.unique(home))
     label = np.arange(len(bits))
-    for a, b in _pairs(own, np.arange(len(bits)), bits, radius):
+    for a, b in _pairs(own, np.arange(len(bits)), bits, radius, mask, reach):
         la, lb = label[a], label[b]
         if (la != lb).any():
             label = _smallest(len(bits), la, lb)[label]
@@ -200,19 +213,21 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     depth = max(LEAST_LEAVES, -(-n // LEAF_ROWS)).bit_length() - 1
     want = min(SAMPLE_BOUND, SAMPLE_PER_LEAF << depth)
     sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(want).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = plan_tree(sample, depth) if len(sample) else 0
+    masks = tree_masks(radius)
+    trees = [plan_tree(sample & np.uint64(mask), depth) if len(sample) else 0 for mask, _ in masks]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for leaf, own, home in _route(tree, points, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), leaf, np.int32)), pa.array(own.view(np.int64)), pa.array(np.full(len(own), home))], ["leaf", "fp", "home"]
-                )
+            for k, (tree, (mask, reach)) in enumerate(zip(trees, masks, strict=True)):
+                for leaf, own, home in _route(tree, points, mask, reach):
+                    key = np.full(len(own), leaf * len(masks) + k, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own.view(np.int64)), pa.array(np.full(len(own), home))], ["leaf", "fp", "home"])
 
     def stars(table: pa.Table) -> pa.Table:
+        mask, reach = masks[table.column("leaf")[0].as_py() % len(masks)]
         bits, home = table.column("fp").to_numpy().astype(np.int64).view(np.uint64), table.column("home").to_numpy()
-        member, centre = leaf_stars(bits[home], bits[~home], radius)
+        member, centre = leaf_stars(bits[home], bits[~home], radius, mask, reach)
         return pa.table({"a": member.view(np.int64), "b": centre.view(np.int64)})
 
     return nodes.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(stars, "a long, b long")

@@ -77,17 +77,20 @@ def test_routing_reaches_every_link():
     rng = np.random.default_rng(5)
     points = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
     points = np.unique(np.concatenate([points, points[:1500] ^ np.uint64(5), points[:700] ^ np.uint64(7 << 20)]))
-    tree = S.plan_tree(points[::7], 5)
-    home, seen = {}, {}
-    for leaf, own, at_home in S._route(tree, points, 3):
-        for p in own.tolist():
-            (home if at_home else seen).setdefault(p, set()).add(leaf)
-    assert all(len(v) == 1 for v in home.values()) and len(home) == len(points)
     a, b = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3, 1))
     assert len(a) > 1000
-    for x, y in zip(points[a].tolist(), points[b].tolist(), strict=True):
-        (hx,), (hy,) = home[x], home[y]
-        assert hx == hy or hy in seen.get(x, ()) or hx in seen.get(y, ())
+    met = np.zeros(len(a), bool)
+    for mask, reach in S.tree_masks(3):
+        tree = S.plan_tree(points[::7] & np.uint64(mask), 5)
+        home, seen = {}, {}
+        for leaf, own, at_home in S._route(tree, points, mask, reach):
+            for p in own.tolist():
+                (home if at_home else seen).setdefault(p, set()).add(leaf)
+        assert all(len(v) == 1 for v in home.values()) and len(home) == len(points)
+        for k, (x, y) in enumerate(zip(points[a].tolist(), points[b].tolist(), strict=True)):
+            (hx,), (hy,) = home[x], home[y]
+            met[k] |= hx == hy or hy in seen.get(x, ()) or hx in seen.get(y, ())
+    assert met.all()
 
 
 def test_dense_blocks_yield_the_same_groups():
