@@ -14,6 +14,7 @@ bits crowd around 32, and a reach of 3 would send most points to both sides at e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, repeat
@@ -256,6 +257,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
+def _labelled(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes(fp, least)`` with the label of the component of each fingerprint."""
+    nodes = nodes.checkpoint()
+    member = components(link_fingerprints(nodes, radius)).checkpoint()
+    return nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links.
 
@@ -264,9 +272,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result. Other columns of docs are ignored. Exact copies meet as one node, so a large group of copies costs one row in the search.
     """
     fps = simhash_fingerprints(docs, id_col, text_col).checkpoint()
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).checkpoint()
-    member = components(link_fingerprints(nodes, radius)).checkpoint()
-    labelled = nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
-    of_label = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    labelled = _labelled(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(of_label, "label").select("fp", "component_id").checkpoint()
     return fps.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, raws in rows_of(batches):
+        bits = np.array([fingerprint(raw) for raw in raws], dtype=np.uint64).view(np.int64)
+        digests = [hashlib.sha256(raw or b"").hexdigest() for raw in raws]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "fp", "digest"])
+
+
+def first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component of :func:`simhash_components`, with all columns of docs, whatever these are called.
+
+    It is the row with the smallest doc_id, rows without an id last; of several such rows the one whose text has the smallest SHA-256.
+    A row is known by its doc_id and that digest, so rows that repeat a doc_id with different texts are told apart, and so are rows
+    without an id. Of rows alike in doc_id and text any one stays.
+    """
+    prepare(docs.sparkSession)
+    fps = texts_of(docs, id_col, text_col).mapInArrow(_row_fingerprints, "doc_id long, fp long, digest string")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    labelled = _labelled(fps.groupBy("fp").agg(least.alias("least")), radius)
+    first = labelled.groupBy("label").agg(F.min("least").alias("least"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    first = first.select("least.*").select(key, "digest")
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = whole.select("doc", key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    return rows.groupBy("key", "digest").agg(F.first("doc").alias("doc")).join(first, ["key", "digest"], "left_semi").select("doc.*")

@@ -86,3 +86,13 @@ def test_clashing_columns_pass_through(spark):
     assert {r["doc_id"] for r in rows} == plain
     assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
     assert C.STAGES[-1][1](spark, docs, "").count() >= len(rows)
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    """Rows without an id, and rows that repeat an id with another text, are judged by their own text."""
+    texts = [" ".join(f"{w}{k}" for k in range(60)) for w in ("apple", "birch", "cedar", "daisy", "elder")]
+    a, b, c, d, e = texts
+    rows = [(None, a, "en"), (None, b, "en"), (None, b, "en"), (None, c, "en"), (3, c, "en"), (5, c, "en"), (5, d, "en"), (9, d, "en"), (9, e, "en"), (9, e, "en"), (2, e, "en")]
+    out = C.near_duplicates(spark, plain_documents(spark, rows), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (2, e)]))
