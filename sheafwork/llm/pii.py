@@ -1,11 +1,12 @@
 r"""Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-The patterns give the base spans, which always stay. Around every trigger (digits, ``@``, a bracketed "at" or "dot") a region of
-tokens is decoded by a semi-Markov model: a segmentation is a sequence of plain tokens and entities of at most MAX_TOKENS tokens, an
-entity is scored by features of its whole span (digit counts, checksums, separators, neighbours, the word before), and dynamic
-programming picks boundaries and kinds together. The weights maximise the conditional likelihood of a bounded sample of documents,
-labelled by the patterns and by a rule for assigned secrets, and of made-up sentences with forms that the patterns do not cover
-(national phone numbers, spelled-out e-mail addresses) and with numbers that are no personal data.
+The patterns give the base spans, which always stay. Around every trigger (digits, ``@``, a bracketed "at" or "dot", a run of 16 or
+more letters and digits) a region of tokens, widened to white space at both ends, is decoded by a semi-Markov model: a segmentation is
+a sequence of plain tokens and entities of at most MAX_TOKENS tokens, an entity is scored by features of its whole span (digit counts,
+checksums, separators, neighbours, the word before), and dynamic programming picks boundaries and kinds together. The weights maximise
+the conditional likelihood of a bounded sample of documents, labelled by the patterns and by a rule for assigned secrets, and of
+made-up sentences with forms that the patterns do not cover (national phone numbers, spelled-out e-mail addresses, secrets of letters
+alone) and with numbers that are no personal data.
 """
 
 from __future__ import annotations
@@ -90,7 +91,8 @@ def spelled(spans: list[tuple[int, int, str]]) -> str:
 
 # The segment model
 
-_TRIGGER = re.compile(r"[0-9](?:[0-9]|\.[0-9])|@|[\[(](?:at|dot)[\])]")
+_TRIGGER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}|[0-9](?:[0-9]|\.[0-9])|@|[\[(](?:at|dot)[\])]")
+_SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 _NUMERIC = re.compile(r"[0-9\x20().+-]+")
 _AT = re.compile(r"@|[\[(]at[\])]")
@@ -98,21 +100,26 @@ _SPELLED = re.compile(r"[\w.+-]+\x20?[\[(]at[\])]\x20?[\w-]+(?:(?:\x20?[\[(]dot[
 _SECRET = re.compile(r"\b(?:token|secret|key|password)\s*[=:]\s*[\"']?([A-Za-z0-9]{24,})")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _ALNUM = re.compile(r"[A-Za-z0-9]+")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Words before a span that are features of their own.
 _CUES = frozenset("token secret key password tel phone call fax mail email contact card visa account ip host server version page year on no".split())
 _WORD_BEFORE = re.compile(r"([^\W_]+)[^\w]{0,4}\Z")
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers; stretches that meet are one."""
+    """Stretches of text around triggers, from white space to white space; stretches that meet are one."""
     start = end = -1
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        while a > max(end, 0) and not text[a - 1].isspace():
+            a -= 1
         if a > end:
             if end > 0:
                 yield start, end
             start = a
-        end = b
+        if b > end:
+            space = _SPACE.search(text, b)
+            end = space.start() if space else len(text)
     if end > 0:
         yield start, end
 
@@ -289,6 +296,8 @@ def seed_examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
     forms = []
     for k in range(24):
         a, b, c = 200 + 31 * k % 700, 100 + 17 * k % 800, 1000 + 271 * k % 8000
+        raw = hashlib.sha512(f"seed {k}".encode()).digest()[: (24, 32, 40, 64)[k % 4]]
+        letters, mixed = ("".join(chars[x % len(chars)] for x in raw) for chars in (_LETTERS, _LETTERS + "0123456789"))
         forms += [
             f"you can call {{phone|({a}) {b}-{c}}} before noon",
             f"our phone is {{phone|{a}-{b}-{c}}}, ask for the desk",
@@ -306,6 +315,8 @@ def seed_examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
             f"order {a}{b}{c} of {c}{a} pieces, page {a}",
             f"the sum is {a}.{b % 100:02} for {c} units ({a % 100} %)",
             f'set token = "{{secret|{hashlib.sha1(str(k).encode()).hexdigest()}}}" in the file',
+            f"{('token = ', 'key: ', 'password=', 'secret: ')[k // 4 % 4]}{{secret|{mixed}}} is set",
+            f"{('key: ', 'password=', 'secret = ', 'token: ')[k // 4 % 4]}{{secret|{letters}}}",
             f"the word {'abcdefghij' * 2}{'klm'[k % 3]} has {20 + k} letters",
         ]
     out = []
@@ -336,7 +347,7 @@ def train_segment_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
     steps = 1 << 30
     rate = min(steps, -(-steps * sample_docs // max(1, rows.count())))
-    picked = rows.where((F.pmod("h", F.lit(steps)) < rate) & F.col("t").rlike("[0-9]{4}|@")).limit(sample_docs)
+    picked = rows.where((F.pmod("h", F.lit(steps)) < rate) & F.col("t").rlike("[0-9]{4}|@|[A-Za-z0-9]{16}")).limit(sample_docs)
     examples = seed_examples()
     stretches = []
     for row in picked.toLocalIterator():

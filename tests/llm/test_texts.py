@@ -74,6 +74,19 @@ def test_model_adds_spans_and_keeps_base_ones(model):
     assert set(base) <= set(spans)
 
 
+def test_secrets_and_addresses_without_a_near_trigger(model):
+    """No two digits stand together, or the whole is longer than the context around a trigger."""
+    found = lambda t: [(k, t[a:b]) for a, b, k in P.all_spans(t, model)[1]]
+    for secret in ("qWeRtYuIoPaSdFgHjKlZxCvB", "a1Bc2De3Fg4Hi5Jk6Lm7No8Pq9Rs0TuV", "Zx9" + "aBcDeFgH" * 4 + "12" + "kLmNoPqR" * 4):
+        for form in ("set token = {} here", "my api key: {} is", "password={}"):
+            assert found(form.format(secret)) == [("secret", secret)], form.format(secret)
+    address = "somebodyelse.withaverylongfamilyname.of.thehouse[at]mail[dot]example"
+    assert found(f"write to {address} now") == [("email", address)]
+    assert found("internationalization of counterrevolutionaries and uncharacteristically long words") == []
+    for text in ("a" * 400_000, "ab12" * 50_000, "@ " * 50_000, "x" * 200_000 + " 12"):
+        assert all(0 <= a < b <= len(text) for a, b in P.regions(text))
+
+
 def test_decoding_is_the_best_segmentation(model):
     """Against all segmentations of short regions."""
     random.seed(8)
