@@ -140,8 +140,6 @@ TRAIN_ROUNDS = 3
 FLOOR = 1e-7
 #: Words of evidence that count in full; beyond them the log-odds are scaled, so that the score tells mixed texts from plain ones.
 EVIDENCE_WORDS = 25
-#: After training a piece of several characters stays in the model if some language uses it more often than this.
-LEAST_PROBABILITY = 1e-6
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: The longest run of letters that is scored as one word.
@@ -206,8 +204,7 @@ class LanguageModel:
                 total = sum(uses.values()) or 1.0
                 p = {piece: max(FLOOR, n / total) for piece, n in uses.items()}
             fitted.append(p)
-        shown = sorted({x for p in fitted for x, q in p.items() if q > LEAST_PROBABILITY})
-        pieces = {x: tuple(p.get(x, FLOOR) for p in fitted) for x in shown}
+        pieces = {x: tuple(p.get(x, FLOOR) for p in fitted) for x in sorted(set(vocab))}
         return cls(languages, pieces, path)
 
     def _word(self, word: str) -> tuple[float, ...]:

@@ -140,6 +140,23 @@ def test_forward_sums_all_segmentations():
         assert model._word(word) == pytest.approx([math.log(brute(word, k)) for k in (0, 1)])
 
 
+def test_every_piece_of_the_vocabulary_counts():
+    """Words outside the training sample: pieces that no language showed have the floor's probability."""
+    model = U.LanguageModel.train({"x": Counter({"house": 3}), "y": Counter({"mouse": 2})})
+    model.predict("a")
+    vocabulary, floor = set(U.vocabulary()), (U.FLOOR, U.FLOOR)
+    for word in ("▁understanding", "▁stationhouse", "▁ñandú中"):
+        want = []
+        for k in (0, 1):
+            ways = [1.0, *[0.0] * len(word)]
+            for a in range(len(word)):
+                for b in range(a + 1, len(word) + 1):
+                    if word[a:b] in vocabulary or b == a + 1:
+                        ways[b] += ways[a] * model.pieces.get(word[a:b], floor)[k]
+            want.append(math.log(ways[-1]))
+        assert model._word(word) == pytest.approx(want)
+
+
 def test_expected_counts_weigh_all_segmentations():
     automaton = U._automaton((p, p) for p in ("▁", "a", "b", "ab", "▁a"))
     p = {"▁": 0.1, "a": 0.2, "b": 0.3, "ab": 0.05, "▁a": 0.2}
