@@ -22,7 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told; the model learns from the labelled documents of this stage's own input."""
+    """Keeps documents whose language can be told; the model learns from the labelled documents of this stage's own input.
+
+    If there are none to learn from, it keeps every document that has letters.
+    """
     return unigram.told_rows(docs, unigram.train_language_model(docs), LEAST_LANGUAGE_SCORE)
 
 

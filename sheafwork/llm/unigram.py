@@ -207,6 +207,11 @@ class LanguageModel:
         pieces = {x: tuple(p.get(x, FLOOR) for p in fitted) for x in sorted(set(vocab))}
         return cls(languages, pieces, path)
 
+    @property
+    def learned(self) -> bool:
+        """Whether any language showed a word."""
+        return any(q > FLOOR for p in self.pieces.values() for q in p)
+
     def _word(self, word: str) -> tuple[float, ...]:
         """Log-probability of a word in each language, summed over all its segmentations."""
         size = len(word)
@@ -280,14 +285,23 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def told_rows(texts: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language is told with at least a score, with all their columns, whatever these are called."""
+    """The rows whose language is told with at least a score, with all their columns, whatever these are called.
+
+    A model that learned no language can tell none: then the rows that have letters stay.
+    """
     prepare(texts.sparkSession)
     place = texts.columns.index(text_col)
+    learned = model.learned
+
+    def told(text: str) -> bool:
+        if not learned:
+            return _LETTERS.search(text) is not None
+        lang, score = model.predict(text)
+        return lang != UNDETERMINED and score >= least_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t or "") for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([told(t or "") for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
 

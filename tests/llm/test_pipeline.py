@@ -96,3 +96,11 @@ def test_one_row_of_each_near_duplicate_group_stays(spark):
     out = C.near_duplicates(spark, plain_documents(spark, rows), "")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (2, e)]))
+
+
+def test_without_a_learned_language_texts_stay(spark):
+    """No labels; labels on rows without a usable id only (crc32 of "2" mod 3 is 1); labels on texts without letters."""
+    texts = [(1, "some plain text"), (2, "noch ein Text"), (None, "a third one"), (7, " 12 34 "), (8, "5"), (9, "6")]
+    for langs in ([None] * 6, [None, "en", "de", None, None, None], [None] * 3 + ["de", "en", "fr"]):
+        docs = plain_documents(spark, [(i, t, lang) for (i, t), lang in zip(texts, langs, strict=True)])
+        assert sorted(str(r["doc_id"]) for r in C.language_id(spark, docs, "").collect()) == ["1", "2", "None"]
