@@ -125,6 +125,7 @@ ROUND_OF_TAG = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, concat(CA
 
 #: Published words, one text a page; and a roster whose names are the first two words of the benchmark's texts.
 OUTPUT_WORDS = "SELECT concat('v', CAST(conv_id AS STRING)) AS file_id, CAST(turn AS INT) AS page_idx, text FROM conversations"
+DOCUMENT_WORDS = "SELECT concat('d', CAST(doc_id AS STRING)) AS file_id, CAST(0 AS INT) AS page_idx, text FROM documents"
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

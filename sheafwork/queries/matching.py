@@ -108,3 +108,24 @@ def leak_findings(w: DataFrame, r: DataFrame) -> DataFrame:
 )
 def leak_report(w: DataFrame, r: DataFrame) -> DataFrame:
     return L.leak_report(w, r)
+
+
+#: The whole tables: every word of the benchmark's texts is a name, and the documents are the output.
+_ALL_BANNED = "SELECT lpad(CAST(item_id AS STRING), 10, '0') AS sid, text AS first_name, CAST(NULL AS STRING) AS last_name FROM benchmark"
+_WHOLE_LEAK = {"w": I.DOCUMENT_WORDS, "r": _ALL_BANNED}
+
+
+@query(_TOKENS + "SELECT *, true AS exact FROM x", **_WHOLE_LEAK)
+def leak_exact_documents(w: DataFrame, r: DataFrame) -> DataFrame:
+    return L.exact_findings(L.page_tokens(w), L.roster_tokens(r))
+
+
+@query(None, **_WHOLE_LEAK)
+def leak_findings_documents(w: DataFrame, r: DataFrame) -> DataFrame:
+    """Exact and fuzzy findings; the SQL that compares all pairs is too slow here, a test compares them by brute force."""
+    return L.leak_findings(w, r)
+
+
+@query(None, **_WHOLE_LEAK)
+def leak_report_documents(w: DataFrame, r: DataFrame) -> DataFrame:
+    return L.leak_report(w, r)

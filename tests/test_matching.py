@@ -1,6 +1,8 @@
 """Names against the fixture rosters: scores, margins, exclusive assignment, held names, rounds."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,36 @@ def test_plan_broadcasts_a_small_roster(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
     assert pairs.agg(F.count("*")).first()[0] == len(ROSTER)
+
+
+def test_leak_findings_of_documents_equal_brute_force(spark, small):
+    """All words of the benchmark against some documents, pair by pair."""
+    from sheafwork.queries import QUERIES
+
+    def tokens(text):
+        return {x.lower() for x in re.findall("[A-Za-z']+", text or "")}
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+        return 200 * row[-1] / (len(a) + len(b))
+
+    docs = {f"d{r['doc_id']}": tokens(r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(4).collect()}
+    items = {f"{r['item_id']:010}": {x for x in tokens(r["text"]) if len(x) >= 3} for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    like = {}
+    for a in {x for own in docs.values() for x in own if len(x) >= 5}:
+        for b in {x for own in items.values() for x in own if len(x) >= 5}:
+            if 2 * sum((Counter(a) & Counter(b)).values()) >= 0.8 * (len(a) + len(b)) and ratio(a, b) >= 80:
+                like.setdefault(a, []).append(b)
+    want = []
+    for d, own in docs.items():
+        for sid, names in items.items():
+            want += [(d, sid, x, True) for x in own & names]
+            want += [(d, sid, x, False) for x in own - names for b in like.get(x, ()) if b in names]
+    found = [(r["file_id"], r["sid"], r["token"], r["exact"]) for r in QUERIES["leak_findings_documents"](spark, small).where(F.col("file_id").isin(list(docs))).collect()]
+    assert sorted(found) == sorted(want) and len({x[3] for x in want}) == 2
+    report = {r["file_id"]: (r["n_findings"], r["n_exact"]) for r in QUERIES["leak_report_documents"](spark, small).where(F.col("file_id").isin(list(docs))).collect()}
+    assert report == {d: (sum(x[0] == d for x in want), sum(x[0] == d and x[3] for x in want)) for d in docs}
