@@ -26,8 +26,9 @@ from tokenizers import Tokenizer
 from sheafwork.llm.common import Recent, prepare, rows_of, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of the tables of recent words and of token pairs, which change the time only.
-TABLE_ROWS = 300_000
+#: Size of the table of recent words and entries of the table of token pairs, which change the time only.
+TABLE_SIZE = 21_000_000
+PAIR_ROWS = 300_000
 #: Below this code point the normalizer is plain lower-casing and character classes agree; the tests compare every such character.
 PLAIN_BELOW = "ɐ"
 
@@ -75,7 +76,7 @@ class BacktrackEncoder:
     def _fits(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= TABLE_ROWS:
+            if len(self.compatible) >= PAIR_ROWS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._seam(left, right, len(self.length))
         return known
@@ -133,7 +134,7 @@ class WordBpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.library = Tokenizer.from_file(path)
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.known: Recent = Recent(TABLE_ROWS)
+        self.known: Recent = Recent(TABLE_SIZE)
         # the offset table: token k is blob[offset[k]:offset[k + 1]], each with the space that joins it to the next
         by_id = sorted([(i, s) for s, i in (vocab | self.special).items()])
         if [i for i, _ in by_id] != list(range(len(by_id))):

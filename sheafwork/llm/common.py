@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,26 +13,35 @@ from pyspark.sql import functions as F
 
 from sheafwork.session import ship_package
 
-#: Rows of an Arrow batch. Long documents make Spark's default of 10,000 rows too large for a worker's memory.
+#: Rows and bytes of an Arrow batch. Spark's defaults (10,000 rows, no bound of bytes) are too much for a worker with long documents.
 BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors, bounds Arrow batches and makes sure that checkpoints have a shared folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (unit tests) a temporary one is taken.
+    The bounds are settings of the session. They only ever become smaller, and they stay set, as the plans that need them run later.
+    A batch holds at least one row, so one text of any length passes.
     """
     ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()
+        if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= bound:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is taken under a local master, whose executors live on this machine; a cluster raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sheafwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -66,10 +76,17 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 class Recent:
-    """A bounded table of results. When its younger half is full it becomes the older one; what is asked for again moves back."""
+    """A bounded table of results for words. When its younger half is full it becomes the older one; what is asked for again moves back.
+
+    The bound counts the characters of the words and a fixed share for each entry, and words of over LONGEST characters are not kept:
+    unbroken runs of letters rarely recur. Neither changes a result.
+    """
+
+    LONGEST = 64
+    ENTRY = 64
 
-    def __init__(self, rows: int):
-        self.half, self.young, self.old = rows // 2, {}, {}
+    def __init__(self, size: int):
+        self.half, self.used, self.young, self.old = size // 2, 0, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -80,7 +97,9 @@ class Recent:
         return found
 
     def put(self, key, value):
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        if len(key) <= self.LONGEST:
+            if self.used >= self.half:
+                self.old, self.young, self.used = self.young, {}, 0
+            self.young[key] = value
+            self.used += self.ENTRY + len(key)
         return value

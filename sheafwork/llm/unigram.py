@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,8 +28,8 @@ from sheafwork.llm.common import Recent, prepare, rows_of, texts_of
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Entries of the table of recent words, which changes the time only.
-TABLE_ROWS = 300_000
+#: Size of the table of recent words (about 300,000 of them), which changes the time only.
+TABLE_SIZE = 21_000_000
 #: White space as the tokenizers library sees it; Python's split() also takes U+001C to U+001F.
 _SPACES = re.compile("[^\t-\r \x85\xa0  -     　]+")
 _MORE_SPACES = re.compile("[\x1c-\x1f]")
@@ -71,7 +72,7 @@ class UnigramCounter:
     def __init__(self, scored: list[tuple[str, float]]):
         self.automaton = _automaton(scored)
         self.unknown = min(score for _, score in scored) - UNKNOWN_PENALTY
-        self.known: Recent = Recent(TABLE_ROWS)
+        self.known: Recent = Recent(TABLE_SIZE)
 
     def count_word(self, word: str) -> tuple[float, int]:
         """(best score, pieces) of a word that already has its mark."""
@@ -142,8 +143,8 @@ FLOOR = 1e-7
 EVIDENCE_WORDS = 25
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: The longest run of letters that is scored as one word.
-_LONGEST = 64
+#: Places between two rescalings of running sums. A place is worth FLOOR at least, so sums stay in the range of a double.
+STRIDE = 16
 
 
 def letter_words(text: str) -> list[str]:
@@ -151,28 +152,58 @@ def letter_words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def marked_parts(word: str) -> list[str]:
-    """The word with a leading mark; a run of over 64 letters in parts, so that no probability can vanish."""
-    return [MARK + word[:_LONGEST], *(word[k : k + _LONGEST] for k in range(_LONGEST, len(word), _LONGEST))]
-
-
-def _expected(automaton: ahocorasick.Automaton, word: str, p: dict[str, float], n: float, into: dict[str, float]) -> None:
-    """Adds n times the expected number of uses of each piece over all segmentations of the word (forward and backward pass)."""
-    found = [[(end, p.get(piece, FLOOR), piece) for end, piece in ends] for ends in _by_start(automaton, word)]
-    for k, ends in enumerate(found):
-        if not any(end == k + 1 for end, *_ in ends):
-            ends.append((k + 1, FLOOR, None))
-    ahead = [1.0, *[0.0] * len(word)]
-    for k, ends in enumerate(found):
-        for end, q, _ in ends:
-            ahead[end] += ahead[k] * q
-    back = [*[0.0] * len(word), 1.0]
-    for k in range(len(word) - 1, -1, -1):
-        back[k] = sum(q * back[end] for end, q, _ in found[k])
-    for k, ends in enumerate(found):
-        for end, q, piece in ends:
+def _longest(pieces: Iterable[str]) -> int:
+    """Characters of the longest piece. Two strides of FLOOR must not vanish, so a vocabulary of longer pieces is refused."""
+    out = max(STRIDE, max(map(len, pieces), default=1))
+    if FLOOR ** (out + STRIDE) < 1e-290:
+        raise ValueError("the vocabulary has a piece of over 25 characters")
+    return out
+
+
+def _leaving(automaton: ahocorasick.Automaton, word: str, first: int, stop: int, reach: int, p: dict[str, float]) -> list[tuple[int, int, float, str | None]]:
+    """The arcs (start, end, probability, piece) that leave the places from ``first`` to ``stop``, by their starts.
+
+    A place that no single-character piece leaves has an arc of one character and probability FLOOR.
+    """
+    out, single = [], set()
+    for last, (size, piece) in automaton.iter(word[first : stop + reach - 1]):
+        start = first + last + 1 - size
+        if start < stop:
+            out.append((start, start + size, p.get(piece, FLOOR), piece))
+            if size == 1:
+                single.add(start)
+    out += [(k, k + 1, FLOOR, None) for k in range(first, stop) if k not in single]
+    return sorted(out, key=lambda arc: arc[0])
+
+
+def _expected(automaton: ahocorasick.Automaton, word: str, p: dict[str, float], n: float, into: dict[str, float], reach: int) -> None:
+    """Adds n times the expected number of uses of each piece over all segmentations of the word (forward and backward pass).
+
+    The word is walked in blocks of ``reach`` places, the longest piece, whose arcs are made anew in each pass, so its length is not
+    bounded. Forward sums are rescaled where a block begins. Backward sums carry the inverse of the same scale, divided by the sum of
+    all segmentations: the product of the two at a place is the probability that a segmentation cuts there.
+    """
+    size = len(word)
+    blocks = [(a, min(size, a + reach)) for a in range(0, size, reach)]
+    ahead, scale = array("d", bytes(8 * (size + 1))), array("d", [1.0])
+    ahead[0] = 1.0
+    for first, stop in blocks:
+        for start, end, q, _ in _leaving(automaton, word, first, stop, reach, p):
+            ahead[end] += ahead[start] * q
+        top = max(ahead[stop : stop + reach])
+        for k in range(stop, min(size + 1, stop + reach)):
+            ahead[k] /= top
+        scale.append(top)
+    back = array("d", bytes(8 * (size + 1)))
+    back[size] = 1 / ahead[size]
+    for place in range(len(blocks) - 1, -1, -1):
+        first, stop = blocks[place]
+        beyond = scale[place + 1]
+        for start, end, q, piece in reversed(_leaving(automaton, word, first, stop, reach, p)):
+            part = q * back[end] if end < stop else q * back[end] / beyond
+            back[start] += part
             if piece is not None:
-                into[piece] += n * ahead[k] * q * back[end] / back[0]
+                into[piece] += n * ahead[start] * part
 
 
 class LanguageModel:
@@ -192,15 +223,14 @@ class LanguageModel:
     def train(cls, counts: dict[str, Counter], path: str | None = None, rounds: int = TRAIN_ROUNDS) -> LanguageModel:
         """Expectation maximisation over the words of each language, from the same start for all."""
         vocab = vocabulary(path)
-        automaton = _automaton((p, p) for p in vocab)
+        automaton, reach = _automaton((p, p) for p in vocab), _longest(vocab)
         languages, fitted = sorted(counts), []
         for language in languages:
             p = dict.fromkeys(vocab, 1 / len(vocab))
             for _ in range(rounds):
                 uses: dict[str, float] = defaultdict(float)
                 for word in sorted(counts[language]):
-                    for part in marked_parts(word):
-                        _expected(automaton, part, p, counts[language][word], uses)
+                    _expected(automaton, MARK + word, p, counts[language][word], uses, reach)
                 total = sum(uses.values()) or 1.0
                 p = {piece: max(FLOOR, n / total) for piece, n in uses.items()}
             fitted.append(p)
@@ -213,33 +243,47 @@ class LanguageModel:
         return any(q > FLOOR for p in self.pieces.values() for q in p)
 
     def _word(self, word: str) -> tuple[float, ...]:
-        """Log-probability of a word in each language, summed over all its segmentations."""
-        size = len(word)
-        arcs, single = [], bytearray(size)
-        for last, (length, p) in self._ready.iter(word):
-            arcs.append((last + 1 - length, last + 1, p))
-            if length == 1:
-                single[last] = 1
-        if 0 in single:
-            arcs += [(k, k + 1, self._floor) for k in range(size) if not single[k]]
-            arcs.sort(key=lambda arc: arc[1])
-        out = []
-        for i in range(len(self.languages)):  # arcs come by their ends, so a place is complete before an arc leaves it
-            ways = [1.0, *[0.0] * size]
-            for start, end, p in arcs:
-                ways[end] += ways[start] * p[i]
-            out.append(math.log(ways[size]))
-        return tuple(out)
+        """Log-probability of a word in each language, summed over all its segmentations, in blocks of STRIDE places.
+
+        A block needs the sums of the places that its longest piece could start at. These are rescaled after each block.
+        """
+        size, reach, n = len(word), self._reach, len(self.languages)
+        sums, logs = [[1.0] for _ in range(n)], [0.0] * n
+        for first in range(0, size, STRIDE):
+            stop = min(size, first + STRIDE)
+            origin = max(0, first - reach + 1)  # places and sums below are counted from here
+            arcs, single = [], set()
+            for last, (length, p) in self._ready.iter(word[origin:stop]):
+                if last >= first - origin:
+                    arcs.append((last + 1 - length, last + 1, p))
+                    if length == 1:
+                        single.add(last)
+            if len(single) < stop - first:
+                arcs += [(k, k + 1, self._floor) for k in range(first - origin, stop - origin) if k not in single]
+                arcs.sort(key=lambda arc: arc[1])
+            for i in range(n):  # arcs come by their ends, so a place is complete before an arc leaves it
+                ways = sums[i] + [0.0] * (stop - first)
+                for start, end, p in arcs:
+                    ways[end] += ways[start] * p[i]
+                if stop == size:
+                    logs[i] += math.log(ways[-1])
+                    continue
+                ways = ways[max(0, stop - reach + 1) - origin :]
+                top = max(ways)
+                sums[i] = [x / top for x in ways]
+                logs[i] += math.log(top)
+        return tuple(logs)
 
     def _look_up(self, word: str) -> tuple[float, ...]:
-        return self._known.get(word) or self._known.put(word, tuple(map(sum, zip(*map(self._word, marked_parts(word)), strict=True))))
+        return self._known.get(word) or self._known.put(word, self._word(MARK + word))
 
     def predict(self, text: str) -> tuple[str, float]:
         """(language, score): the most probable language, ties to the first by name, and its share of the scaled likelihoods."""
         if self._ready is None:
             self._floor = (FLOOR,) * len(self.languages)
             singles = {p: self._floor for p in vocabulary(self.path) if len(p) == 1}
-            self._ready, self._known = _automaton((singles | self.pieces).items()), Recent(TABLE_ROWS)
+            self._ready, self._known = _automaton((singles | self.pieces).items()), Recent(TABLE_SIZE)
+            self._reach = _longest(self.pieces)
         words = letter_words(text)
         if not words or not self.languages:
             return UNDETERMINED, 0.0
@@ -265,7 +309,8 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return LanguageModel([], {}, path)
     steps = 1 << 30
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(steps, -(-steps * per_language // n)))])
-    chosen = eligible.where(F.pmod(F.xxhash64("k"), F.lit(steps)) < rate[F.col("lang")]).limit(2 * per_language * len(sizes))
+    hashed = eligible.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(steps)))
+    chosen = hashed.where(F.col("h") < rate[F.col("lang")]).orderBy("h", "k", "t").limit(2 * per_language * len(sizes))
     counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
     for row in chosen.select("lang", "t").toLocalIterator():
         counts[row["lang"]].update(letter_words(row["t"]))

@@ -166,10 +166,75 @@ def test_expected_counts_weigh_all_segmentations():
         for piece in way:
             want[piece] += 2 * q / sum(ways.values())
     got = Counter()
-    U._expected(automaton, "▁ab", p, 2, got)
+    U._expected(automaton, "▁ab", p, 2, got, U.STRIDE)
     assert dict(got) == pytest.approx(dict(want))
 
 
+def log_sums(arcs_from, size):
+    """Logarithm of the sum over all ways from 0 to size, in logarithms at every place; arcs_from(k) gives (end, probability)."""
+    ways = [0.0, *[-math.inf] * size]
+    for k in range(size):
+        for end, q in arcs_from(k):
+            a, b = max(ways[end], ways[k] + math.log(q)), min(ways[end], ways[k] + math.log(q))
+            ways[end] = a + math.log1p(math.exp(b - a))
+    return ways
+
+
+def random_word(n, seed):
+    random.seed(seed)
+    return U.MARK + "".join(random.choice("thequickbrownfoxéñ中") for _ in range(n))
+
+
+def test_long_words_sum_all_segmentations():
+    """No cut at any length: words of many strides against sums in logarithms, in both passes."""
+    model = U.LanguageModel.train({"x": Counter({"house": 3, "the": 2}), "y": Counter({"mouse": 2, "quick": 1})})
+    model.predict("a")
+    vocabulary = set(U.vocabulary())
+    for n in (15, 16, 17, 31, 32, 33, 63, 64, 65, 200, 1500):
+        word = random_word(n, n)
+        for k in (0, 1):
+            arcs = lambda a, k=k, word=word: [(b, model.pieces.get(word[a:b], (U.FLOOR,) * 2)[k]) for b in range(a + 1, min(len(word), a + 16) + 1) if b == a + 1 or word[a:b] in vocabulary]
+            assert model._word(word)[k] == pytest.approx(log_sums(arcs, len(word))[-1], rel=1e-12)
+
+
+def test_long_words_weigh_all_segmentations():
+    p = {"▁": 0.1, "t": 0.02, "h": 0.01, "th": 1e-6, "qu": 0.3, "he": 0.2, "▁t": 0.004}
+    automaton = U._automaton((x, x) for x in p)
+    for n in (14, 15, 16, 17, 40, 300, 2000):
+        word = random_word(n, n)
+        arcs = lambda a, word=word: [(b, p.get(word[a:b], U.FLOOR)) for b in (a + 1, a + 2) if b <= len(word) and (b == a + 1 or word[a:b] in p)]
+        ahead = log_sums(arcs, len(word))
+        back = log_sums(lambda b, word=word: [(len(word) - a, p.get(word[a : len(word) - b], U.FLOOR)) for a in (len(word) - b - 1, len(word) - b - 2) if a >= 0 and (a == len(word) - b - 1 or word[a : len(word) - b] in p)], len(word))[::-1]
+        want, got = Counter(), Counter()
+        for a in range(len(word)):
+            for b, q in arcs(a):
+                if word[a:b] in p:
+                    want[word[a:b]] += 3 * math.exp(ahead[a] + math.log(q) + back[b] - ahead[-1])
+        U._expected(automaton, word, p, 3, got, U.STRIDE)
+        assert dict(got) == pytest.approx(dict(want), rel=1e-9)
+
+
+UNBROKEN = ["x" * 64, "abcdefghijklmnopqrstuvwxyz" * 3, "x" * 1_000_000, "中文字" * 170, "ひらがな" * 12, "".join(chr(0x0E01 + k % 46) for k in range(500)), "ñandú" * 40_000]
+
+
+def test_unbroken_letters(spark):
+    """Runs of letters of any length have a language and a score, among the texts learned from too."""
+    rows = [(10 + k, t, "en" if k % 2 else "de") for k, t in enumerate(UNBROKEN)] + [(1, "a plain text", "en"), (2, "ein Text", "de")]
+    found = U.language_id(documents(spark, rows)).collect()
+    assert len(found) == len(rows) and all(r["lang_pred"] in ("de", "en") and 0 < r["score"] <= 1 for r in found)
+    model = U.LanguageModel.train({"x": Counter(["x" * 100_000, "y"]), "y": Counter(["中" * 70])})
+    assert all(model.predict(t)[0] in ("x", "y") for t in UNBROKEN)
+
+
+def test_recent_words_are_bounded_by_characters():
+    table = U.Recent(4000)
+    for k in range(1000):
+        table.put(f"{'w' * 50}{k}", k)
+        assert sum(len(x) + U.Recent.ENTRY for x in [*table.young, *table.old]) <= 4000 + 2 * 118
+    table.put("w" * 65, 1)
+    assert table.get("w" * 65) is None and table.get(f"{'w' * 50}999") == 999
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = U.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
