@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from array import array
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,9 +27,10 @@ from sheafwork.llm.common import prepare, rows_of, texts_of
 #: Kinds in the order in which spans with equal starts are listed; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Documents sampled for training, and regions of them that are used.
+#: Documents sampled for training, regions of them that are used, and characters of such a region at most.
 TRAIN_DOCS = 2000
 TRAIN_REGIONS = 240
+TRAIN_CHARS = 2000
 EPOCHS = 6
 #: Tokens of an entity, and characters of context around a trigger.
 MAX_TOKENS = 24
@@ -37,7 +39,7 @@ CONTEXT = 32
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
@@ -69,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(s, e, "email") for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                 out.append((*m.span(), "ip"))
         for m in _CARD.finditer(text):
             digits = _NOT_DIGITS.sub("", m[0]) if m.end() - m.start() <= 37 else ""
@@ -165,30 +167,46 @@ def _is_email(span: str) -> bool:
     return next(_emails(span), None) == (0, len(span))
 
 
-class Lattice:
-    """A region's tokens, and the entity segments that could stand there: (from token, to token, kind, features)."""
+def walk(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, list[tuple[int, int, str, list[str]]]]]:
+    """For each token of a region: its bounds, its feature as a plain token, and the entities that begin with it.
 
-    def __init__(self, text: str, start: int, end: int):
-        self.cuts = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
-        tokens = [text[a:b] for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        self.plain = [["plain:" + ("digits" if t[0].isdigit() else "@" if t == "@" else "long" if len(t) >= 16 else "word")] for t in tokens]
-        self.segments: list[list[tuple[int, str, list[str]]]] = [[] for _ in tokens]  # by their end
-        opens = [t[0].isalnum() or t in "+(" for t in tokens]
-        closes = [t[-1].isalnum() for t in tokens]
-        numeric = [t[0].isascii() and t.isdigit() or t in " ().+-" for t in tokens]
-        for i, first in enumerate(tokens):
-            if not opens[i]:
-                continue
+    An entity is (tokens, end, kind, features). No more than MAX_TOKENS tokens are held at once, whatever the region's length.
+    """
+    coming = _TOKEN.finditer(text, start, end)
+    held: deque[tuple[int, int, str, bool]] = deque()
+    while True:
+        while len(held) < MAX_TOKENS and (m := next(coming, None)):
+            t = m[0]
+            held.append((*m.span(), t, t[0].isascii() and t.isdigit() or t in " ().+-"))
+        if not held:
+            return
+        at, stop, first, _ = held[0]
+        found = []
+        if first[0].isalnum() or first in "+(":
             in_number, has_at = True, False
-            for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-                in_number &= numeric[j]
-                has_at |= tokens[j] in ("@", "at")
-                spaced = tokens[j].isspace() and tokens[j] != " "
-                if spaced or j > i and not in_number and not has_at and not (tokens[j] in " .[(_-+%" or tokens[j][0].isalnum()):
+            for n, (_, until, t, numeric) in enumerate(held, 1):
+                in_number &= numeric
+                has_at |= t in ("@", "at")
+                spaced = t.isspace() and t != " "
+                if spaced or n > 1 and not in_number and not has_at and not (t in " .[(_-+%" or t[0].isalnum()):
                     break
-                if closes[j] and (in_number or has_at or j == i and len(first) >= 16):
-                    for kind, names in span_features(text, self.cuts[i], self.cuts[j + 1]).items():
-                        self.segments[j].append((i, kind, names))
+                if t[-1].isalnum() and (in_number or has_at or n == 1 and len(first) >= 16):
+                    found += [(n, until, kind, names) for kind, names in span_features(text, at, until).items()]
+        yield at, stop, "plain:" + ("digits" if first[0].isdigit() else "@" if first == "@" else "long" if len(first) >= 16 else "word"), found
+        held.popleft()
+
+
+class Lattice:
+    """A region's tokens, and the entity segments that could stand there: (from token, to token, kind, features). For training only."""
+
+    def __init__(self, text: str, start: int, end: int):
+        rows = list(walk(text, start, end))
+        self.cuts = [at for at, *_ in rows] + [end]
+        self.plain = [[name] for *_, name, _ in rows]
+        self.segments: list[list[tuple[int, str, list[str]]]] = [[] for _ in rows]  # by their end
+        for i, (*_, found) in enumerate(rows):
+            for n, _, kind, names in found:
+                self.segments[i + n - 1].append((i, kind, names))
 
     def gold(self, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]] | None:
         """Spans as (from token, to token, kind); None if one lies on the region's edge or is no segment here."""
@@ -216,25 +234,36 @@ class SegmentModel:
         plain = [sum(w.get(f, 0.0) for f in names) for names in lattice.plain]
         return plain, [[(i, kind, names, sum(w.get(f, 0.0) for f in names)) for i, kind, names in ends] for ends in lattice.segments]
 
-    def decode(self, lattice: Lattice) -> list[tuple[int, int, str]]:
-        """The best segmentation's entities as (start, end, kind); of equal scores the one with plain tokens, then the longest entity."""
-        plain, segments = self._scored(lattice)
-        best, way = [0.0], [None]
-        for j, p in enumerate(plain):
-            top, how = best[j] + p, None
-            for i, kind, _, score in segments[j]:
-                if best[i] + score > top:
-                    top, how = best[i] + score, (i, kind)
-            best.append(top)
-            way.append(how)
-        out, j = [], len(plain)
-        while j:
-            if way[j] is None:
-                j -= 1
-            else:
-                i, kind = way[j]
-                out.append((lattice.cuts[i], lattice.cuts[j], kind))
-                j = i
+    def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+        """The best segmentation's entities in text[start:end] as (start, end, kind).
+
+        Of equal scores the one with plain tokens wins, then the longest entity, then the first kind in the order of its features.
+        Scores are held for the places an entity can reach; a token leaves only its place and the way that ends there.
+        """
+        w = self.weights
+        scores, ways = deque([0.0]), deque([0])  # of the place now and of those after it; a way is tokens * 8 + kind, or 0
+        cuts, backs = array("q", [start]), array("q", [0])
+        for _, stop, plain, found in walk(text, start, end):
+            here = scores.popleft()
+            ways.popleft()
+            while len(scores) < max([1, *(n for n, *_ in found)]):
+                scores.append(-math.inf)
+                ways.append(0)
+            for n, _, kind, names in found:
+                score = here + sum(w.get(f, 0.0) for f in names)
+                if score > scores[n - 1]:
+                    scores[n - 1], ways[n - 1] = score, n * 8 + KINDS.index(kind)
+            score = here + w.get(plain, 0.0)
+            if score >= scores[0]:
+                scores[0], ways[0] = score, 0
+            cuts.append(stop)
+            backs.append(ways[0])
+        out, j = [], len(cuts) - 1
+        while j > 0:
+            n, kind = divmod(backs[j], 8)
+            if n:
+                out.append((cuts[j - n], cuts[j], KINDS[kind]))
+            j -= n or 1
         return out[::-1]
 
     def _update(self, lattice: Lattice, gold: list[tuple[int, int, str]], rate: float) -> None:
@@ -276,6 +305,8 @@ class SegmentModel:
         data = []
         for text, spans in examples:
             for a, b in regions(text):
+                if b - a > TRAIN_CHARS:
+                    continue
                 lattice = Lattice(text, a, b)
                 gold = lattice.gold(spans)
                 if gold is not None and any(lattice.segments):
@@ -343,15 +374,22 @@ def weak_labels(text: str) -> list[tuple[int, int, str]]:
 
 
 def train_segment_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = TRAIN_DOCS, sample_regions: int = TRAIN_REGIONS) -> SegmentModel:
-    """Fits on the made-up sentences and at most ``sample_regions`` regions of about ``sample_docs`` documents, taken by a hash of their id."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    """Fits on the made-up sentences and at most ``sample_regions`` regions of about ``sample_docs`` documents.
+
+    Documents are taken by a hash of id and text, so rows without an id or with the same one are spread like others, and the choice
+    does not depend on the layout. Regions of over TRAIN_CHARS characters are not learned from.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"))
     steps = 1 << 30
     rate = min(steps, -(-steps * sample_docs // max(1, rows.count())))
-    picked = rows.where((F.pmod("h", F.lit(steps)) < rate) & F.col("t").rlike("[0-9]{4}|@|[A-Za-z0-9]{16}")).limit(sample_docs)
+    picked = rows.withColumn("h", F.pmod(F.xxhash64("k", "t"), F.lit(steps))).where((F.col("h") < rate) & F.col("t").rlike("[0-9]{4}|@|[A-Za-z0-9]{16}"))
+    picked = picked.select("h", "t").orderBy("h", "t").limit(sample_docs).select("t")
     examples = seed_examples()
     stretches = []
     for row in picked.toLocalIterator():
         for a, b in regions(row["t"]):
+            if b - a > TRAIN_CHARS:
+                continue
             stretch = row["t"][a:b]
             stretches.append((hashlib.sha256(stretch.encode()).digest(), stretch))
     for _, stretch in sorted(set(stretches))[:sample_regions]:
@@ -364,8 +402,7 @@ def all_spans(text: str, model: SegmentModel) -> tuple[list[tuple[int, int, str]
     base = base_spans(text)
     more = []
     for a, b in regions(text):
-        for span in model.decode(Lattice(text, a, b)):
-            more.append(span)
+        more += model.decode(text, a, b)
     if more and base:
         taken = bytearray(len(text))
         for s, e, _ in base:
@@ -388,7 +425,8 @@ def find_personal_data(docs: DataFrame, model: SegmentModel, id_col: str = "doc_
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all, as kind:start:end).
 
     A null text counts as empty: no spans, and the digest of the empty string. Repeated rows give repeated results, an empty table
-    an empty one; other columns are ignored.
+    an empty one; other columns are ignored. Ties between segmentations: see :meth:`SegmentModel.decode`. Very long texts, regions
+    and numbers need no special case: a region is decoded with MAX_TOKENS tokens in hand.
     """
     prepare(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
