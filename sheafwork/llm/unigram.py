@@ -9,14 +9,18 @@ The forward pass sums the probabilities of all segmentations.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -143,6 +147,12 @@ FLOOR = 1e-7
 EVIDENCE_WORDS = 25
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Short words whose log-probabilities a worker keeps, words of a text that are looked up at once, and words scored in one batch. They
+#: change the time only, like the letters from which a word is scored by itself: a short word's sums cannot vanish.
+TABLE_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 16
+BATCH_WORDS = 1 << 13
+SHORT_WORD = 24
 #: Places between two rescalings of running sums. A place is worth FLOOR at least, so sums stay in the range of a double.
 STRIDE = 16
 
@@ -211,13 +221,7 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], pieces: dict[str, tuple[float, ...]], path: str | None = None):
         self.languages, self.pieces, self.path = languages, pieces, path
-        self._ready = None
-
-    def __getstate__(self):
-        return self.languages, self.pieces, self.path
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+        self._table = None
 
     @classmethod
     def train(cls, counts: dict[str, Counter], path: str | None = None, rounds: int = TRAIN_ROUNDS) -> LanguageModel:
@@ -242,25 +246,38 @@ class LanguageModel:
         """Whether any language showed a word."""
         return any(q > FLOOR for p in self.pieces.values() for q in p)
 
+    def _start(self) -> None:
+        """What prediction needs: an automaton whose values are (length << 20 | place in the list of pieces), and the table of words."""
+        floor = (FLOOR,) * len(self.languages)
+        pieces = {p: floor for p in vocabulary(self.path) if len(p) == 1} | self.pieces
+        self._reach = _longest(pieces)
+        self._automaton = ahocorasick.Automaton()
+        for place, piece in enumerate(pieces):
+            self._automaton.add_word(piece, len(piece) << 20 | place)
+        self._automaton.make_automaton()
+        self._chances = [*pieces.values(), floor]
+        self._matrix = np.array(self._chances)
+        self._rows: dict[str, int] = {}
+        self._table = np.empty((TABLE_WORDS, len(self.languages)))
+
     def _word(self, word: str) -> tuple[float, ...]:
         """Log-probability of a word in each language, summed over all its segmentations, in blocks of STRIDE places.
 
         A block needs the sums of the places that its longest piece could start at. These are rescaled after each block.
         """
-        size, reach, n = len(word), self._reach, len(self.languages)
+        size, reach, n, floor = len(word), self._reach, len(self.languages), self._chances[-1]
         sums, logs = [[1.0] for _ in range(n)], [0.0] * n
         for first in range(0, size, STRIDE):
             stop = min(size, first + STRIDE)
             origin = max(0, first - reach + 1)  # places and sums below are counted from here
             arcs, single = [], set()
-            for last, (length, p) in self._ready.iter(word[origin:stop]):
+            for last, value in self._automaton.iter(word[origin:stop]):
                 if last >= first - origin:
-                    arcs.append((last + 1 - length, last + 1, p))
-                    if length == 1:
+                    arcs.append((last + 1 - (value >> 20), last + 1, self._chances[value & 0xFFFFF]))
+                    if value >> 20 == 1:
                         single.add(last)
-            if len(single) < stop - first:
-                arcs += [(k, k + 1, self._floor) for k in range(first - origin, stop - origin) if k not in single]
-                arcs.sort(key=lambda arc: arc[1])
+            arcs += [(k, k + 1, floor) for k in range(first - origin, stop - origin) if k not in single]
+            arcs.sort(key=lambda arc: arc[1])
             for i in range(n):  # arcs come by their ends, so a place is complete before an arc leaves it
                 ways = sums[i] + [0.0] * (stop - first)
                 for start, end, p in arcs:
@@ -274,26 +291,88 @@ class LanguageModel:
                 logs[i] += math.log(top)
         return tuple(logs)
 
-    def _look_up(self, word: str) -> tuple[float, ...]:
-        return self._known.get(word) or self._known.put(word, self._word(MARK + word))
+    def _short_words(self, words: list[str]) -> np.ndarray:
+        """As :meth:`_word` for many words of so few letters that no sum can vanish: one pass of the automaton, then place by place."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        found = np.fromiter(chain.from_iterable(self._automaton.iter("\0".join(words))), np.int64).reshape(-1, 2)
+        length, piece = found[:, 1] >> 20, found[:, 1] & 0xFFFFF
+        word = np.searchsorted(at, found[:, 0], "right") - 1
+        end = found[:, 0] - at[word] + 1
+        bare = np.arange(int(size.max())) < size[:, None]
+        bare[word[length == 1], end[length == 1] - 1] = False
+        more_words, more_starts = np.nonzero(bare)
+        word, end = np.concatenate([word, more_words]), np.concatenate([end, more_starts + 1])
+        length = np.concatenate([length, np.ones(len(more_words), np.int64)])
+        piece = np.concatenate([piece, np.full(len(more_words), len(self._chances) - 1)])
+        order = np.lexsort((word, end))
+        word, end, start, piece = word[order], end[order], (end - length)[order], piece[order]
+        ways = np.zeros((len(words), int(size.max()) + 1, len(self.languages)))
+        ways[:, 0] = 1.0
+        cuts = np.searchsorted(end, np.arange(1, int(size.max()) + 2))
+        for place, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+            own = word[a:b]
+            heads = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+            ways[own[heads], place] = np.add.reduceat(ways[own, start[a:b]] * self._matrix[piece[a:b]], heads, axis=0)
+        return np.log(ways[np.arange(len(words)), size])
+
+    def _sums(self, words: list[str], owner: np.ndarray, owners: int) -> np.ndarray:
+        """Per owner the sum of the log-probabilities of its words, added in their order. Rows of words stay in a table until it is full."""
+        rows = np.fromiter(map(self._rows.get, words, repeat(-1)), np.int64, len(words))
+        out = np.zeros((owners, len(self.languages)))
+        if (rows < 0).any():
+            new = dict.fromkeys(words[k] for k in np.nonzero(rows < 0)[0].tolist())
+            if len(self._rows) + len(new) > TABLE_WORDS:
+                self._rows.clear()
+                new = dict.fromkeys(words)
+            short = [w for w in new if len(w) < SHORT_WORD]
+            for k in range(0, len(short), BATCH_WORDS):
+                part, size = short[k : k + BATCH_WORDS], len(self._rows)
+                self._table[size : size + len(part)] = self._short_words([MARK + w for w in part])
+                self._rows.update(zip(part, range(size, size + len(part)), strict=True))
+            long = {w: self._word(MARK + w) for w in new if len(w) >= SHORT_WORD}
+            for k, w in enumerate(words) if long else ():
+                if w in long:
+                    out[owner[k]] += long[w]
+            rows = np.fromiter(map(self._rows.get, words, repeat(-1)), np.int64, len(words))
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+        for i in range(len(self.languages)):
+            out[:, i] += np.bincount(owner, self._table[rows, i], owners)
+        return out
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """For each text (language, score): the most probable language, ties to the first by name, and its share of the scaled
+        likelihoods. Texts are taken together until they hold CHUNK_WORDS words; one of more words is taken alone, in parts."""
+        if self._table is None:
+            self._start()
+        out: list[tuple[str, float]] = []
+        held, sizes = [], []
+        for k, text in enumerate(texts):
+            words = letter_words(text)
+            held += words
+            sizes.append(len(words))
+            if k + 1 < len(texts) and len(held) < CHUNK_WORDS:
+                continue
+            if len(sizes) > 1 and len(held) > CHUNK_WORDS:  # the last one alone
+                out += self._told(held[: -len(words)], sizes[:-1])
+                held, sizes = words, sizes[-1:]
+            out += self._told(held, sizes)
+            held, sizes = [], []
+        return out
+
+    def _told(self, words: list[str], sizes: list[int]) -> Iterator[tuple[str, float]]:
+        owner, total = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), len(self.languages)))
+        for k in range(0, len(words) if self.languages else 0, CHUNK_WORDS):
+            total += self._sums(words[k : k + CHUNK_WORDS], owner[k : k + CHUNK_WORDS], len(sizes))
+        for n, row in zip(sizes, total.tolist(), strict=True):
+            if not n or not row:
+                yield UNDETERMINED, 0.0
+                continue
+            scale, top = min(1.0, EVIDENCE_WORDS / n), max(row)
+            yield self.languages[row.index(top)], 1 / sum(math.exp((x - top) * scale) for x in row)
 
     def predict(self, text: str) -> tuple[str, float]:
-        """(language, score): the most probable language, ties to the first by name, and its share of the scaled likelihoods."""
-        if self._ready is None:
-            self._floor = (FLOOR,) * len(self.languages)
-            singles = {p: self._floor for p in vocabulary(self.path) if len(p) == 1}
-            self._ready, self._known = _automaton((singles | self.pieces).items()), Recent(TABLE_SIZE)
-            self._reach = _longest(self.pieces)
-        words = letter_words(text)
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        known = self._known.young
-        vectors = [known.get(word) or self._look_up(word) for word in words]
-        total = [math.fsum(column) for column in zip(*vectors, strict=True)]
-        scale = min(1.0, EVIDENCE_WORDS / len(words))
-        top = max(total)
-        score = 1 / sum(math.exp((x - top) * scale) for x in total)
-        return self.languages[total.index(top)], score
+        return self.predict_all([text])[0]
 
 
 def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, path: str | None = None) -> LanguageModel:
@@ -317,13 +396,32 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return LanguageModel.train(counts, path)
 
 
+#: The model of the last task of this worker: the next task of the same query goes on with its table of words.
+_last_model: list[tuple[str, LanguageModel]] = []
+
+
+class _Sent:
+    """A model as it is sent to tasks: its pickled form, which a worker opens once."""
+
+    def __init__(self, model: LanguageModel):
+        self.state = pickle.dumps((model.languages, model.pieces, model.path), pickle.HIGHEST_PROTOCOL)
+        self.key = hashlib.sha256(self.state).hexdigest()
+
+    def open(self) -> LanguageModel:
+        if not _last_model or _last_model[0][0] != self.key:
+            _last_model[:] = [(self.key, LanguageModel(*pickle.loads(self.state)))]
+        return _last_model[0][1]
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row, from its whole text alone."""
     prepare(docs.sparkSession)
+    sent = _Sent(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.open()
         for ids, raws in rows_of(batches):
-            found = [model.predict((raw or b"").decode("utf-8", "replace")) for raw in raws]
+            found = model.predict_all([(raw or b"").decode("utf-8", "replace") for raw in raws])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -336,17 +434,17 @@ def told_rows(texts: DataFrame, model: LanguageModel, least_score: float, text_c
     """
     prepare(texts.sparkSession)
     place = texts.columns.index(text_col)
-    learned = model.learned
+    learned, sent = model.learned, _Sent(model)
 
-    def told(text: str) -> bool:
+    def told(model: LanguageModel, texts: list[str]) -> list[bool]:
         if not learned:
-            return _LETTERS.search(text) is not None
-        lang, score = model.predict(text)
-        return lang != UNDETERMINED and score >= least_score
+            return [_LETTERS.search(text) is not None for text in texts]
+        return [lang != UNDETERMINED and score >= least_score for lang, score in model.predict_all(texts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.open()
         for batch in batches:
-            yield batch.filter(pa.array([told(t or "") for t in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(told(model, [t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
 
     return texts.mapInArrow(run, texts.schema)
 

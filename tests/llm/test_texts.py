@@ -195,8 +195,10 @@ def test_a_long_region_takes_little_memory(model):
     tracemalloc.start()
     try:
         assert P.base_spans(text) == []
-        model.decode(text, 0, 300_000)
-        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        model.decode(text, 0, 30_000)  # a fixed part and 16 bytes a token: 200 MB would be room for regions of 6 million characters
+        assert tracemalloc.get_traced_memory()[1] - held < 1 << 20
     finally:
         tracemalloc.stop()
 

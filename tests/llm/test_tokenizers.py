@@ -214,6 +214,29 @@ def test_long_words_weigh_all_segmentations():
         assert dict(got) == pytest.approx(dict(want), rel=1e-9)
 
 
+def test_short_words_in_batches_equal_single_words():
+    model = U.LanguageModel.train({"x": Counter({"house": 3, "the": 2}), "y": Counter({"mouse": 2, "quick": 1})})
+    model.predict("a")
+    words = [random_word(k % (U.SHORT_WORD + 1), k) for k in range(500)]
+    assert model._short_words(words) == pytest.approx(np.array([model._word(w) for w in words]), rel=1e-12)
+
+
+def test_word_table_changes_nothing(monkeypatch):
+    random.seed(21)
+    counts = {"x": Counter({"house": 3, "the": 2}), "y": Counter({"mouse": 2, "quick": 1})}
+    texts = [" ".join(random_word(random.choice([1, 2, 5, 30, 90]), random.randrange(200))[1:] for _ in range(random.randint(1, 80))) for _ in range(60)]
+    want = [U.LanguageModel.train(counts).predict(t) for t in texts]
+    for name, n in (("TABLE_WORDS", 8), ("CHUNK_WORDS", 8), ("BATCH_WORDS", 3)):
+        monkeypatch.setattr(U, name, n)
+    model = U.LanguageModel.train(counts)
+    for text, (lang, score) in zip(texts, want, strict=True):
+        got = model.predict(text)
+        assert got[0] == lang and got[1] == pytest.approx(score)
+    for k in (1, 7, 60):
+        assert [x for a in range(0, 60, k) for x in model.predict_all(texts[a : a + k])] == [model.predict(t) for t in texts]
+    assert model.predict_all([]) == [] and model.predict_all(["", "12"]) == [("und", 0.0)] * 2
+
+
 UNBROKEN = ["x" * 64, "abcdefghijklmnopqrstuvwxyz" * 3, "x" * 1_000_000, "中文字" * 170, "ひらがな" * 12, "".join(chr(0x0E01 + k % 46) for k in range(500)), "ñandú" * 40_000]
 
 
