@@ -1,23 +1,30 @@
 """Quality rules as a short-circuit cascade. DataFrame functions only.
 
-The statistics of a text are columns; a rule is a boolean column that rejects. On a bounded sample each rule's cost (seconds a row)
-and rejection rate are measured, and the rules are put in the order of rejection per cost, so that a ``CASE`` stops at the first
-rule that rejects. A verdict is a conjunction, so the order changes the time and never the result.
+A rule is a boolean expression over statistics of a text that rejects it. On a bounded sample each rule's cost (seconds a row) and
+rejection rate are measured, and the rules are put in the order of rejection per cost, so that a ``CASE`` stops at the first rule that
+rejects. Statistics are expressions too: where only the verdict is wanted, a rule computes its own when its turn comes, so a text that
+a cheap rule rejects never pays for the sort of its windows. A verdict is a conjunction, so the order changes the time and never the
+result.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
+from sheafwork.functions.binding import let
+from sheafwork.llm.common import delete_folder, prepare, shared_folder
+
 _BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Rows of the sample that orders the rules, and bytes of each at most.
+#: Texts of the sample that orders the rules.
 SAMPLE_ROWS = 64
-SAMPLE_BYTES = 1 << 15
+#: A rule is timed over so many copies of the sample that it takes this long beyond an empty job, or over this many copies at most.
+LEAST_SECONDS = 0.05
+MOST_COPIES = 256
 LEAST_WORDS = 50
 #: Limits in percent: of words that lie in repeated windows, symbols to words, repeated lines to lines, capitals and letters to characters of words.
 REPEAT_PERCENT = 50
@@ -31,133 +38,192 @@ LEAST_MEAN_WORD, MOST_MEAN_WORD = 2, 20
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for a text to reject. It reads ``_t`` (the text, never null) and the statistics in ``_q``."""
+    """``rejects`` makes, from a function that gives a statistic's column by its name, a column that is true for a text to reject."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Callable[[str], Column]], Column]
 
 
 def base_rules() -> list[Rule]:
     """The two rules whose verdict is part of the contract (``base_failed``)."""
-    q = lambda c: F.col(f"_q.{c}")
     return [
-        Rule("few_words", q("n_words") < LEAST_WORDS),
-        Rule("repeated_words", q("n_repeat_words") * 100 > q("n_words") * REPEAT_PERCENT),
+        Rule("few_words", lambda q: q("n_words") < LEAST_WORDS),
+        Rule("repeated_words", lambda q: q("n_repeat_words") * 100 > q("n_words") * REPEAT_PERCENT),
     ]
 
 
 def further_rules() -> list[Rule]:
-    """The rules that the cascade applies to what the base rules leave."""
-    q = lambda c: F.col(f"_q.{c}")
+    """The rules of the cascade beside the base rules."""
     return [
-        Rule("symbols", q("n_symbols") * 100 > q("n_words") * SYMBOL_PERCENT),
-        Rule("repeated_lines", q("n_dup_lines") * 100 > q("n_lines") * DUP_LINE_PERCENT),
-        Rule("word_length", (q("word_chars") < q("n_words") * LEAST_MEAN_WORD) | (q("word_chars") > q("n_words") * MOST_MEAN_WORD)),
-        Rule("capitals", F.length(F.regexp_replace("_t", r"\P{Lu}+", "")) * 100 > q("word_chars") * CAPITAL_PERCENT),
-        Rule("letters", F.length(F.regexp_replace("_t", r"\P{L}+", "")) * 100 < q("word_chars") * LETTER_PERCENT),
+        Rule("symbols", lambda q: q("n_symbols") * 100 > q("n_words") * SYMBOL_PERCENT),
+        Rule("repeated_lines", lambda q: let(q("lines"), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > F.size(x) * DUP_LINE_PERCENT)),
+        Rule("word_length", lambda q: let(q("word_chars"), lambda n: (n < q("n_words") * LEAST_MEAN_WORD) | (n > q("n_words") * MOST_MEAN_WORD))),
+        Rule("capitals", lambda q: F.length(F.regexp_replace(q("text"), r"\P{Lu}+", "")) * 100 > q("word_chars") * CAPITAL_PERCENT),
+        Rule("letters", lambda q: F.length(F.regexp_replace(q("text"), r"\P{L}+", "")) * 100 < q("word_chars") * LETTER_PERCENT),
     ]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def words_of(text: Column) -> Column:
+    """The runs of characters other than U+0020 and U+0009 to U+000D. One-character separators keep the split off the pattern engine."""
+    return F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
+
+
+def lines_of(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
+
+
+def repeated_words(words: Column) -> Column:
+    """The words that lie in some three-word window found twice or more in the text, the first one included.
+
+    Windows whose 64-bit hashes all differ cannot repeat, which settles most texts. Else windows are sorted by their hash, their text
+    (no word holds a space, so the joined text stands for the three words) and their place; equal neighbours mark repeats, and the
+    union of the marked windows is measured. That is n log n steps for any length of text.
+    """
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+    three = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+    sorted_windows = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.concat_ws(" ", *three(i)).alias("g"), i.alias("p"))))
+
+    def covered(windows: Column) -> Column:
+        same = lambda x, k: let(F.get(windows, k), lambda y: (y["h"] == x["h"]) & (y["g"] == x["g"]))
+        hit = F.filter(windows, lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+        grown = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"))
+        return F.aggregate(F.sort_array(F.transform(hit, lambda x: x["p"])), start, grown, lambda a: a["n"])
+
+    hashes = F.transform(places, lambda i: F.xxhash64(*three(i)))
+    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(F.size(words) <= 3, F.lit(0)).when(repeats, let(sorted_windows, covered)).otherwise(F.lit(0)).cast("long")
+
+
+def lazy(text: Column, n_words: Column) -> Callable[[str], Column]:
+    """Statistics of a text (never null) as expressions, each computed where and if it is used."""
+    makers = {
+        "text": lambda: text,
+        "n_words": lambda: n_words,
+        "word_chars": lambda: F.length(F.translate(text, _BLANKS, "")).cast("long"),
+        "n_symbols": lambda: (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "lines": lambda: lines_of(text),
+        "n_repeat_words": lambda: let(words_of(text), repeated_words),
+    }
+    return lambda name: makers[name]()
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``_t``, the text ('' for null), and ``_q``, a struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+def _known(text: Column, statistics: Column) -> Callable[[str], Column]:
+    """Statistics that a report has computed already, and the others as expressions."""
+    rest = lazy(text, statistics["n_words"])
+    return lambda name: statistics[name] if name in ("n_words", "word_chars", "n_symbols", "n_repeat_words") else rest(name)
 
-    A word is a run of characters other than U+0020 and U+0009 to U+000D. n_dup_lines counts the lines that hold a word and equal an
-    earlier line. n_repeat_words counts the words that lie in some three-word window found twice or more in its text, the first one
-    included: windows are sorted with their places, equal neighbours mark repeats, and the union of the marked windows is measured,
-    in n log n steps for any length of text. Each text is read whole, and no row leaves its partition.
+
+def text_statistics(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, read whole; null counts as empty.
+
+    n_dup_lines counts the lines that hold a word and equal an earlier line; for n_repeat_words see :func:`repeated_words`.
     """
-    rows = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("_w", F.filter(F.split("_t", SPACE), lambda w: w != ""))
-    rows = rows.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: _without(x, _BLANKS) != ""))
-    # No word holds a space, so the joined text of a window stands for its three words.
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("p")),
-    )
-    rows = rows.withColumn("_s", F.when(F.size("_w") > 3, F.sort_array(window)))
-    beside = lambda x, k: F.get("_s", k)["g"].eqNullSafe(x["g"])
-    rows = rows.withColumn("_r", F.transform(F.filter("_s", lambda x, i: beside(x, i - 1) | beside(x, i + 1)), lambda x: x["p"]))
-    rows = rows.withColumn("_r", F.sort_array("_r"))
-    covered = F.aggregate(
-        "_r",
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")),
-        lambda a: a["n"],
-    )
-    chars = F.length("_t")
-    stats = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(_without(F.col("_t"), _BLANKS)).cast("long").alias("word_chars"),
-        (chars - F.length(_without(F.col("_t"), _SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
-    return rows.withColumn("_q", stats).drop("_w", "_l", "_s", "_r")
-
-
-def any_of(rules: list[Rule]) -> Column:
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+
+    def of(words: Column) -> Column:
+        q = lazy(whole, F.size(words).cast("long"))
+        dups = let(q("lines"), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        found = {"n_words": q("n_words"), "word_chars": q("word_chars"), "n_symbols": q("n_symbols"), "n_dup_lines": dups, "n_repeat_words": repeated_words(words)}
+        return F.struct(*[c.alias(name) for name, c in found.items()])
+
+    return let(words_of(whole), of)
+
+
+def any_of(rules: list[Rule], q: Callable[[str], Column]) -> Column:
     """True if a rule rejects; rules are tried in the order given and the first rejection ends it."""
     out = F.lit(False)
     for rule in reversed(rules):
-        out = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(True)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(q), F.lit(False)), F.lit(True)).otherwise(out)
     return out
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order of rejection per cost, as measured on at most ``sample_rows`` texts of at most SAMPLE_BYTES each.
+def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text): at most ``rows`` distinct texts of any length, those with the least hashes, so that no layout of the table favours any.
+
+    One pass over the column keeps about four times as many rows as are wanted before they are sorted.
+    """
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    steps = 1 << 30
+    rate = min(steps, -(-steps * 4 * rows // max(1, docs.select().count())))
+    hashed = texts.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(steps))).where(F.col("h") < rate)
+    return hashed.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(rows).select("text")
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, computed: bool = False) -> list[Rule]:
+    """The rules in the order of rejection per cost, as measured on :func:`sample_texts`; rules measured alike keep their order.
 
-    The sample is what the first partitions hold, so that its cost does not grow with the table. Only the order depends on it.
+    A rule's cost is the time of a job that counts its rejections over copies of the sample, less that of a job that counts nothing;
+    copies are doubled until the difference is beyond the noise of a job. ``computed``: the statistics of the report are at hand, so
+    a rule pays only for what it adds. The sample is written to the shared folder and removed afterwards; the driver sees counts only.
     """
-    spark, text = docs.sparkSession, F.col(text_col).cast("string")
-    taken = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect()
-    if not taken:
-        return rules
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(row["text"]) for row in taken])).alias("text"))
-    sample = text_statistics(rows).select("_t", "_q").cache()
+    spark = docs.sparkSession
+    prepare(spark)
+    folder = shared_folder(spark, "quality-sample")
+    text = F.col("text")
+    sample_texts(docs, text_col, sample_rows).select("text", F.size(words_of(text)).cast("long").alias("n"), text_statistics(text).alias("q")).write.parquet(folder)
+    schema = "text string, n long, q struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>"
+    sample = spark.read.schema(schema).parquet(folder)
+    q = _known(text, F.col("q")) if computed else lazy(text, F.col("n"))
+
+    def timed(rejects: Column, copies: int) -> tuple[float, int]:
+        job = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")).agg(F.count_if(rejects & (F.col("copy") > 0)))
+        began = time.perf_counter()
+        return job.first()[0] / copies, time.perf_counter() - began
+
     try:
         n = sample.count()
+        if not n:
+            return rules
         rated = []
+        empty: dict[int, float] = {}
         for place, rule in enumerate(rules):
-            began = time.perf_counter()
-            rejected = sample.agg(F.count_if(rule.rejects)).first()[0]
-            cost = (time.perf_counter() - began) / n
+            rejects, copies = F.coalesce(rule.rejects(q), F.lit(False)), 1
+            timed(rejects, 1)  # classes load and code is generated
+            while True:
+                if copies not in empty:
+                    empty[copies] = min(timed(F.lit(False), copies)[1] for _ in range(2))
+                rejected, took = timed(rejects, copies)
+                beyond = took - empty[copies]
+                if beyond >= LEAST_SECONDS or copies >= MOST_COPIES:
+                    break
+                copies *= 4
+            cost = max(beyond, LEAST_SECONDS / 10) / (n * copies)
             rated.append((-(rejected + 0.5) / n / cost, place, rule))
         return [rule for *_, rule in sorted(rated, key=lambda x: x[:2])]
     finally:
-        sample.unpersist()
+        delete_folder(spark, folder)
 
 
-def quality_cascade(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with ``_t``, ``_q`` and the verdicts ``_base_failed`` and ``_kept``.
+def quality_kept(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns, whatever these are called.
 
-    Null and empty texts have no words and fail. Repeated rows are judged alike, ties cannot occur, and an empty table stays empty.
-    Columns of docs that have one of these names are replaced; :func:`quality_kept` and :func:`quality_report` are free of that.
+    Null and empty texts have no words and go. Repeated rows are judged alike, ties cannot occur, an empty table stays empty, and
+    texts of any length are read whole. All rules are in the cascade; only the number of words is known before it begins.
     """
-    stats = text_statistics(docs, text_col)
-    rules = plan_cascade(docs, further_rules(), text_col, sample_rows)
-    judged = stats.withColumn("_base_failed", any_of(base_rules()))
-    kept = F.when(F.col("_base_failed"), F.lit(False)).otherwise(~any_of(rules))
-    # A filter on the verdict must not be pushed below the statistics: each step would be copied into every use of it. The always
-    # true test of the partition number is no deterministic expression, which ends the push-down here.
-    return judged.withColumn("_kept", kept & (F.spark_partition_id() >= 0))
-
-
-def quality_kept(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that the cascade keeps, with all their columns, whatever these are called."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    return quality_cascade(packed, "text", sample_rows).where("_kept").select("row.*")
+    rules = plan_cascade(docs, [*base_rules(), *further_rules()], text_col, sample_rows)
+    whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.where(~let(F.size(words_of(whole)).cast("long"), lambda n: any_of(rules, lazy(whole, n))))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    pruned = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    q = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return quality_cascade(pruned).select("doc_id", *q, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    Null and empty texts have no words and fail. Repeated rows are judged alike, ties cannot occur, and an empty table gives an empty
+    result; other columns are ignored. As the statistics are columns of the result, the cascade orders the further rules by what they
+    cost beyond them.
+    """
+    rules = plan_cascade(docs, further_rules(), text_col, computed=True)
+    whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].alias("doc_id"), whole.alias("_t"), text_statistics(docs[text_col]).alias("_q"))
+    # A filter on a result must not be pushed below the statistics: they would be copied into every use. The always true test of the
+    # partition number is no deterministic expression, which ends the push-down here; a test holds the plan to that.
+    rows = rows.withColumn("_here", F.spark_partition_id() >= 0)
+    q = _known(F.col("_t"), F.col("_q"))
+    rows = rows.withColumn("_base_failed", any_of(base_rules(), q) & F.col("_here"))
+    kept = F.when(F.col("_base_failed"), F.lit(False)).otherwise(~any_of(rules, q))
+    return rows.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", F.col("_base_failed").alias("base_failed"), kept.alias("kept"))
 
 
 #: DuckDB SQL for :func:`quality_report` over the whole table ``{docs}``. Its last column list is that of the query.

@@ -7,6 +7,7 @@ import re
 import struct
 import time
 import tracemalloc
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -248,15 +249,93 @@ def test_quality_statistics(spark):
     assert Q.quality_report(documents(spark, [])).count() == 0
 
 
+def plain_kept(text):
+    """All rules, one after another."""
+    text = text or ""
+    words, chars, symbols, dups, repeated, failed = plain_quality(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    capitals, letters = (sum(unicodedata.category(c).startswith(k) for c in text) for k in ("Lu", "L"))
+    return not (failed or symbols * 10 > words or dups * 5 > len(lines) * 2 or chars < 2 * words or chars > 20 * words or capitals * 5 > chars * 2 or letters * 20 < chars * 11)
+
+
+def quality_rows():
+    """Texts around every rule's limit."""
+    random.seed(23)
+    rows = list(AWKWARD)
+    vocabulary = [random_name(k) for k in range(500)]
+    for k in range(120):
+        words = [random.choice(vocabulary) for _ in range(random.choice([48, 49, 50, 51, 120]))]
+        kind = k % 7
+        if kind == 1:
+            words = [w + "#" * (random.random() < 0.12) for w in words]
+        elif kind == 2:
+            words = [w.upper() if random.random() < 0.45 else w for w in words]
+        elif kind == 3:
+            words = [str(random.randrange(10**5)) if random.random() < 0.5 else w for w in words]
+        elif kind == 4:
+            words = [w[: random.choice([1, 2, 3])] for w in words] if k % 2 else [w * 4 for w in words]
+        elif kind == 5:
+            words = words[:20] * 4 + words[20:40]
+        text = "\n".join(" ".join(words[j : j + 5]) for j in range(0, len(words), 5))
+        if kind == 6:
+            text += "\n" + "\n".join(random.choice(text.split("\n")) for _ in range(random.randint(3, 12)))
+        rows.append((100 + k, text, "en"))
+    return rows
+
+
+def random_name(seed):
+    return "".join(random.Random(seed).choice("abcdefghijklmnopqrstuvwxyzéñ") for _ in range(4 + seed % 5))
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rows = quality_rows()
+    want = [plain_kept(t) for _, t, _ in rows]
+    assert 20 < sum(want) < len(rows) - 60
+    found = {(r["doc_id"], r["kept"]) for r in Q.quality_report(documents(spark, rows)).collect()}
+    assert found == {(i, k) for (i, _, _), k in zip(rows, want, strict=True)}
+    kept = Q.quality_kept(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    assert Counter(r["text"] for r in kept.collect()) == Counter(t for (_, t, _), k in zip(rows, want, strict=True) if k)
+
+
 def test_quality_verdict_does_not_depend_on_the_order(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    stats = Q.text_statistics(docs)
-    rules = Q.further_rules()
-    one, other = (stats.select("doc_id", Q.any_of(r).alias("bad")) for r in (rules, rules[::-1]))
+    docs = documents(spark, quality_rows())
+    rules = [*Q.base_rules(), *Q.further_rules()]
+    q = Q.lazy(F.coalesce("text", F.lit("")), F.size(Q.words_of(F.coalesce("text", F.lit("")))))
+    one, other = (docs.select("doc_id", Q.any_of(r, q).alias("bad")) for r in (rules, rules[::-1]))
     assert one.exceptAll(other).count() == 0
     assert {r.name for r in Q.plan_cascade(docs, rules)} == {r.name for r in rules}
 
 
+def test_cascade_orders_by_rejection_per_cost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dear = Q.Rule("dear", lambda q: F.length(F.regexp_replace(F.repeat(q("text"), 40), "(a|e|i)+x{9}", "")) < 0)
+    cheap = Q.Rule("cheap", lambda q: q("n_words") < 0)
+    dear_but_sharp = Q.Rule("sharp", lambda q: F.length(F.regexp_replace(q("text"), r"\P{L}+", "")) > 10)
+    for rules in ([dear, cheap, dear_but_sharp], [dear, dear_but_sharp, cheap]):
+        order = [r.name for r in Q.plan_cascade(docs, rules)]
+        assert order[-1] == "dear" and set(order) == {"dear", "cheap", "sharp"}
+
+
+def test_sample_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pick = lambda d: sorted(r["text"] for r in Q.sample_texts(d, rows=20).collect())
+    first = pick(docs)
+    assert len(first) == 20 and first == pick(docs.orderBy(F.length("text")).repartition(7))
+    hot = docs.select("text").unionByName(docs.limit(1).select("text").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).select("text"))
+    assert len(set(pick(hot))) == len(pick(hot))
+    long = plain_documents(spark, [(k, "word " * 100_000, "en") for k in range(3)])
+    assert len(pick(long)[0]) == 500_000
+
+
+def test_a_filter_stays_above_the_statistics(spark):
+    """The windows' hashes occur once for the test of repeats and once for the sort, however the result is filtered."""
+    report = Q.quality_report(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for rows in (report, report.where("kept"), report.where("NOT base_failed AND n_words > 60")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("xxhash64(") == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, small, name):
     con = duckdb.connect()
