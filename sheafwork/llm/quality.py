@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sheafwork.functions.binding import let
 from sheafwork.llm.common import delete_folder, prepare, shared_folder
 
-_BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+
+#: Places of windows that fit into the lower bits of a sorted number, beside the upper 40 bits of a hash.
+_PLACES = 1 << 24
 #: Texts of the sample that orders the rules.
 SAMPLE_ROWS = 64
 #: A rule is timed over so many copies of the sample that it takes this long beyond an empty job, or over this many copies at most.
@@ -57,61 +59,86 @@ def further_rules() -> list[Rule]:
     return [
         Rule("symbols", lambda q: q("n_symbols") * 100 > q("n_words") * SYMBOL_PERCENT),
         Rule("repeated_lines", lambda q: let(q("lines"), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > F.size(x) * DUP_LINE_PERCENT)),
-        Rule("word_length", lambda q: let(q("word_chars"), lambda n: (n < q("n_words") * LEAST_MEAN_WORD) | (n > q("n_words") * MOST_MEAN_WORD))),
+        Rule("word_length", lambda q: (q("word_chars") < q("n_words") * LEAST_MEAN_WORD) | (q("word_chars") > q("n_words") * MOST_MEAN_WORD)),
         Rule("capitals", lambda q: F.length(F.regexp_replace(q("text"), r"\P{Lu}+", "")) * 100 > q("word_chars") * CAPITAL_PERCENT),
-        Rule("letters", lambda q: F.length(F.regexp_replace(q("text"), r"\P{L}+", "")) * 100 < q("word_chars") * LETTER_PERCENT),
+        Rule("letters", lambda q: (F.length(q("text")) - F.length(F.regexp_replace(q("text"), r"\p{L}+", ""))) * 100 < q("word_chars") * LETTER_PERCENT),
     ]
 
 
 def words_of(text: Column) -> Column:
-    """The runs of characters other than U+0020 and U+0009 to U+000D. One-character separators keep the split off the pattern engine."""
-    return F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
+    """The runs of characters other than U+0020 and U+0009 to U+000D."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def lines_of(text: Column) -> Column:
     """The lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def repeated_words(words: Column) -> Column:
     """The words that lie in some three-word window found twice or more in the text, the first one included.
 
-    Windows whose 64-bit hashes all differ cannot repeat, which settles most texts. Else windows are sorted by their hash, their text
-    (no word holds a space, so the joined text stands for the three words) and their place; equal neighbours mark repeats, and the
-    union of the marked windows is measured. That is n log n steps for any length of text.
+    Windows whose 64-bit hashes all differ cannot repeat, which settles most texts. Else numbers made of a hash's upper bits and the
+    window's place are sorted; neighbours with equal hashes are compared word by word, and the union of the windows so marked is
+    measured. If unequal windows share a hash, or there are more windows than places fit, windows are sorted by their text instead.
+    That is n log n steps for any length of text.
     """
     places = F.sequence(F.lit(0), F.size(words) - 3)
     three = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
-    sorted_windows = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.concat_ws(" ", *three(i)).alias("g"), i.alias("p"))))
+    place = lambda x: x.bitwiseAND(F.lit(_PLACES - 1)).cast("int")
+    near = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.lit(-_PLACES)) == 0, F.lit(False))
+    alike = lambda i, j: (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
 
-    def covered(windows: Column) -> Column:
-        same = lambda x, k: let(F.get(windows, k), lambda y: (y["h"] == x["h"]) & (y["g"] == x["g"]))
-        hit = F.filter(windows, lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
+    def union(starts: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         grown = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"))
-        return F.aggregate(F.sort_array(F.transform(hit, lambda x: x["p"])), start, grown, lambda a: a["n"])
+        return F.aggregate(F.sort_array(starts), start, grown, lambda a: a["n"])
+
+    def by_text(windows: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(windows, k)["g"] == x["g"], F.lit(False))
+        return union(F.transform(F.filter(windows, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+
+    def by_hash(keys: Column) -> Column:
+        marked = F.filter(keys, lambda x, k: near(x, F.get(keys, k - 1)) | near(x, F.get(keys, k + 1)))
+        return let(marked, lambda m: F.when(~differ(m), union(F.transform(m, place))))
+
+    def differ(m: Column) -> Column:
+        before = lambda x, k: let(F.get(m, k - 1), lambda y: F.coalesce(near(x, y) & ~alike(place(x), place(y)), F.lit(False)))
+        return F.size(F.filter(m, before)) > 0
+
+    def of(hashes: Column) -> Column:
+        keys = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(-_PLACES)).bitwiseOR(i.cast("long"))))
+        windows = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *three(i)).alias("g"), i.alias("p"))))
+        quick = F.when(F.size(hashes) <= _PLACES, let(keys, by_hash))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(F.coalesce(quick, let(windows, by_text)))
 
-    hashes = F.transform(places, lambda i: F.xxhash64(*three(i)))
-    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(F.size(words) <= 3, F.lit(0)).when(repeats, let(sorted_windows, covered)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(words) <= 3, F.lit(0)).otherwise(let(F.transform(places, lambda i: F.xxhash64(*three(i))), of)).cast("long")
 
 
-def lazy(text: Column, n_words: Column) -> Callable[[str], Column]:
-    """Statistics of a text (never null) as expressions, each computed where and if it is used."""
+def lazy(text: Column, words: Column, n_words: Column, word_chars: Column) -> Callable[[str], Column]:
+    """Statistics of a text (never null): its words and their number and characters, and others as expressions, computed where and if
+    they are used."""
     makers = {
         "text": lambda: text,
         "n_words": lambda: n_words,
-        "word_chars": lambda: F.length(F.translate(text, _BLANKS, "")).cast("long"),
-        "n_symbols": lambda: (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "word_chars": lambda: word_chars,
+        "n_symbols": lambda: F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "lines": lambda: lines_of(text),
-        "n_repeat_words": lambda: let(words_of(text), repeated_words),
+        "n_repeat_words": lambda: repeated_words(words),
     }
     return lambda name: makers[name]()
 
 
+def of_text(text: Column, use: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """What ``use`` makes of the statistics of a text; null counts as empty."""
+    counted = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"))
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return let(words_of(whole), lambda w: let(counted(w), lambda c: use(lazy(whole, w, c["n"], c["chars"]))))
+
+
 def _known(text: Column, statistics: Column) -> Callable[[str], Column]:
     """Statistics that a report has computed already, and the others as expressions."""
-    rest = lazy(text, statistics["n_words"])
+    rest = lazy(text, words_of(text), statistics["n_words"], statistics["word_chars"])
     return lambda name: statistics[name] if name in ("n_words", "word_chars", "n_symbols", "n_repeat_words") else rest(name)
 
 
@@ -120,15 +147,12 @@ def text_statistics(text: Column) -> Column:
 
     n_dup_lines counts the lines that hold a word and equal an earlier line; for n_repeat_words see :func:`repeated_words`.
     """
-    whole = F.coalesce(text.cast("string"), F.lit(""))
 
-    def of(words: Column) -> Column:
-        q = lazy(whole, F.size(words).cast("long"))
+    def of(q: Callable[[str], Column]) -> Column:
         dups = let(q("lines"), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        found = {"n_words": q("n_words"), "word_chars": q("word_chars"), "n_symbols": q("n_symbols"), "n_dup_lines": dups, "n_repeat_words": repeated_words(words)}
-        return F.struct(*[c.alias(name) for name, c in found.items()])
+        return F.struct(*[(dups if name == "n_dup_lines" else q(name)).alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
-    return let(words_of(whole), of)
+    return of_text(text, of)
 
 
 def any_of(rules: list[Rule], q: Callable[[str], Column]) -> Column:
@@ -162,10 +186,10 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sam
     prepare(spark)
     folder = shared_folder(spark, "quality-sample")
     text = F.col("text")
-    sample_texts(docs, text_col, sample_rows).select("text", F.size(words_of(text)).cast("long").alias("n"), text_statistics(text).alias("q")).write.parquet(folder)
-    schema = "text string, n long, q struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>"
+    sample_texts(docs, text_col, sample_rows).select("text", words_of(text).alias("words"), text_statistics(text).alias("q")).write.parquet(folder)
+    schema = "text string, words array<string>, q struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>"
     sample = spark.read.schema(schema).parquet(folder)
-    q = _known(text, F.col("q")) if computed else lazy(text, F.col("n"))
+    q = _known(text, F.col("q")) if computed else lazy(text, F.col("words"), F.col("q.n_words"), F.col("q.word_chars"))
 
     def timed(rejects: Column, copies: int) -> tuple[float, int]:
         job = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")).agg(F.count_if(rejects & (F.col("copy") > 0)))
@@ -200,11 +224,10 @@ def quality_kept(docs: DataFrame, text_col: str = "text", sample_rows: int = SAM
     """The rows of docs that no rule rejects, with all their columns, whatever these are called.
 
     Null and empty texts have no words and go. Repeated rows are judged alike, ties cannot occur, an empty table stays empty, and
-    texts of any length are read whole. All rules are in the cascade; only the number of words is known before it begins.
+    texts of any length are read whole. All rules are in the cascade; only the words and their characters are known before it begins.
     """
     rules = plan_cascade(docs, [*base_rules(), *further_rules()], text_col, sample_rows)
-    whole = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.where(~let(F.size(words_of(whole)).cast("long"), lambda n: any_of(rules, lazy(whole, n))))
+    return docs.where(~of_text(docs[text_col], lambda q: any_of(rules, q)))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
