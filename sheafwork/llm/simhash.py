@@ -22,10 +22,10 @@ from itertools import accumulate, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import prepare, rows_of, texts_of
+from sheafwork.llm.common import prepare, rows_of, shared_folder, texts_of
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -33,7 +33,7 @@ RADIUS = 3
 #: Distinct fingerprints at home in a leaf, and the least number of leaves, which keeps a small table parallel.
 LEAF_ROWS = 32_768
 LEAST_LEAVES = 64
-#: Fingerprints sampled per leaf to place the vantage points, and the bound of the whole sample.
+#: Fingerprints sampled per leaf to place the vantage points, and the bound of a whole sample.
 SAMPLE_PER_LEAF = 64
 SAMPLE_BOUND = 65_536
 #: Trees, each over an equal part of the bits.
@@ -120,9 +120,10 @@ def plan_tree(sample: np.ndarray, depth: int) -> Node | int:
     return grow(sample, depth)
 
 
-def _route(tree: Node | int, points: np.ndarray, mask: int, reach: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, points, at home). A point is at home in one leaf, and visits the leaves further out that its ball reaches."""
-    todo: list[tuple[Node | int, np.ndarray, bool]] = [(tree, points, True)]
+def _route(tree: Node | int, points: np.ndarray, mask: int, reach: int, home: bool = True) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(leaf, points, at home). A point is at home in one leaf, and visits the leaves further out that its ball reaches; what comes to
+    the tree as a visitor visits only."""
+    todo: list[tuple[Node | int, np.ndarray, bool]] = [(tree, points, home)]
     bits = np.uint64(mask)
     while todo:
         node, own, home = todo.pop()
@@ -205,25 +206,86 @@ def leaf_stars(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, mas
     return bits[moved], bits[label[moved]]
 
 
-def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _depth(rows: int, leaf_rows: int) -> int:
+    return (-(-rows // leaf_rows) - 1).bit_length()
+
+
+def _dealt(parts: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+    leaf, home = (np.repeat([p[k] for p in parts], [len(p[1]) for p in parts]) for k in (0, 2))
+    points = np.concatenate([own for _, own, _ in parts]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(points), pa.array(home, pa.bool_())], ["leaf", "fp", "home"])
+
+
+def _split_leaves(rows: DataFrame, masks: list[tuple[int, int]], next_leaf: int, leaf_rows: int, sample_bound: int, settled: set[int]) -> tuple[DataFrame, int] | None:
+    """Splits the leaves that hold over twice ``leaf_rows`` home rows by trees over samples of their own rows; None if there is none.
+
+    At most ``sample_bound`` fingerprints are sampled in a round, so a round takes the fullest leaves and the next one goes on. A leaf
+    whose rows agree in all bits of its mask cannot be split: it is ``settled``, and its pairs are found in blocks.
+    """
+    most = max(1, sample_bound // SAMPLE_PER_LEAF)
+    sizes = rows.where("home").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
+    full = {r["leaf"]: r["n"] for r in sizes.orderBy(F.desc("n"), "leaf").limit(most + len(settled)).collect() if r["leaf"] not in settled}
+    if not full:
+        return None
+    share = {leaf: max(2, sample_bound // len(full)) for leaf in full}
+    wanted = {leaf: min(share[leaf], SAMPLE_PER_LEAF << _depth(n, leaf_rows)) for leaf, n in full.items()}
+    take = F.create_map(*[F.lit(x) for leaf, n in wanted.items() for x in (leaf, n)])
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("fp"), "fp"))
+    of_full = rows.where(F.col("home") & F.col("leaf").isin(list(full))).withColumn("rank", rank).where(F.col("rank") <= max(wanted.values()))
+    points: dict[int, list[int]] = {leaf: [] for leaf in full}
+    for r in of_full.where(F.col("rank") <= take[F.col("leaf")]).select("leaf", "fp").collect():
+        points[r["leaf"]].append(r["fp"])
+    trees: dict[int, tuple[Node | int, int]] = {}
+    for leaf in sorted(full):
+        mask, _ = masks[leaf % len(masks)]
+        depth = min(_depth(full[leaf], leaf_rows), max(1, len(points[leaf]).bit_length() - 4))
+        tree = plan_tree(np.array(points[leaf], np.int64).view(np.uint64) & np.uint64(mask), depth)
+        if isinstance(tree, int):
+            settled.add(leaf)
+        else:
+            trees[leaf] = tree, next_leaf
+            next_leaf += 1 << depth
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            points, home, parts = fp.astype(np.int64).view(np.uint64), home.astype(bool), []
+            for own in np.unique(leaf).tolist():
+                here = leaf == own
+                if own not in trees:
+                    parts += [(own, points[here & (home == h)], h) for h in (True, False)]
+                    continue
+                tree, first = trees[own]
+                k = own % len(masks)
+                for h in (True, False):
+                    parts += [((first + n) * len(masks) + k, got, at_home) for n, got, at_home in _route(tree, points[here & (home == h)], *masks[k], h)]
+            if parts:
+                yield _dealt(parts)
+
+    return rows.mapInArrow(deal, "leaf long, fp long, home boolean").checkpoint(), next_leaf
+
+
+def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, sample_bound: int = SAMPLE_BOUND) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct fingerprints ``nodes(fp)``.
 
-    The sample for the tree is bounded by SAMPLE_BOUND; it places the boundaries only and drops nothing.
+    The first trees are planned on a bounded sample, and a leaf that turns out too full is split again by its own rows, until none is;
+    samples place the boundaries only and drop nothing. On the driver are one round's sample and the trees, a few numbers for every
+    ``leaf_rows`` fingerprints.
     """
     n = nodes.count()
-    depth = max(LEAST_LEAVES, -(-n // LEAF_ROWS)).bit_length() - 1
-    want = min(SAMPLE_BOUND, SAMPLE_PER_LEAF << depth)
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(want).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     masks = tree_masks(radius)
+    depth = min(max(_depth(LEAST_LEAVES, 1), _depth(max(1, n), leaf_rows)), _depth(max(1, sample_bound // SAMPLE_PER_LEAF), 1))
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample_bound, SAMPLE_PER_LEAF << depth)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     trees = [plan_tree(sample & np.uint64(mask), depth) if len(sample) else 0 for mask, _ in masks]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            parts = []
             for k, (tree, (mask, reach)) in enumerate(zip(trees, masks, strict=True)):
-                for leaf, own, home in _route(tree, points, mask, reach):
-                    key = np.full(len(own), leaf * len(masks) + k, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own.view(np.int64)), pa.array(np.full(len(own), home))], ["leaf", "fp", "home"])
+                parts += [(leaf * len(masks) + k, own, home) for leaf, own, home in _route(tree, points, mask, reach)]
+            if parts:
+                yield _dealt(parts)
 
     def stars(table: pa.Table) -> pa.Table:
         mask, reach = masks[table.column("leaf")[0].as_py() % len(masks)]
@@ -231,7 +293,11 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         member, centre = leaf_stars(bits[home], bits[~home], radius, mask, reach)
         return pa.table({"a": member.view(np.int64), "b": centre.view(np.int64)})
 
-    return nodes.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(stars, "a long, b long")
+    rows = nodes.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean").checkpoint()
+    next_leaf, settled = 1 << depth, set()
+    while made := _split_leaves(rows, masks, next_leaf, leaf_rows, sample_bound, settled):
+        rows, next_leaf = made
+    return rows.groupBy("leaf").applyInArrow(stars, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,14 +357,24 @@ def first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     It is the row with the smallest doc_id, rows without an id last; of several such rows the one whose text has the smallest SHA-256.
     A row is known by its doc_id and that digest, so rows that repeat a doc_id with different texts are told apart, and so are rows
     without an id. Of rows alike in doc_id and text any one stays.
+
+    The choice is made on ids and digests alone, in tables in the shared folder. Texts stay where they are as long as the rows to drop
+    are few enough to be broadcast, by their size on disk and Spark's threshold; else they are moved once. Only rows alike in doc_id
+    and text that stay are grouped with their texts.
     """
-    prepare(docs.sparkSession)
-    fps = texts_of(docs, id_col, text_col).mapInArrow(_row_fingerprints, "doc_id long, fp long, digest string")
+    spark = docs.sparkSession
+    prepare(spark)
+    fps = texts_of(docs, id_col, text_col).mapInArrow(_row_fingerprints, "doc_id long, fp long, digest string").checkpoint()
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
     labelled = _labelled(fps.groupBy("fp").agg(least.alias("least")), radius)
-    first = labelled.groupBy("label").agg(F.min("least").alias("least"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    first = first.select("least.*").select(key, "digest")
+    first = labelled.groupBy("label").agg(F.min("least").alias("least")).select("least.*").select(key, "digest", F.lit(True).alias("stays"))
+    alike = fps.groupBy(key, "digest").agg(F.count("*").alias("n")).join(first, ["key", "digest"], "left").where("stays IS NULL OR n > 1")
+    folder = shared_folder(spark, "dropped")
+    alike.select("key", "digest", F.col("stays").isNotNull().alias("stays")).write.parquet(folder)
+    dropped = spark.read.schema("key string, digest string, stays boolean").parquet(folder)
     whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = whole.select("doc", key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    return rows.groupBy("key", "digest").agg(F.first("doc").alias("doc")).join(first, ["key", "digest"], "left_semi").select("doc.*")
+    repeated = rows.join(dropped.where("stays").select("key", "digest"), ["key", "digest"], "left_semi")
+    one = repeated.groupBy("key", "digest").agg(F.first("doc").alias("doc"))
+    return rows.join(dropped, ["key", "digest"], "left_anti").select("doc").unionByName(one.select("doc")).select("doc.*")

@@ -73,6 +73,38 @@ def test_links_across_leaves_and_in_a_dense_group(spark):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in theirs.values()}
 
 
+def test_full_leaves_are_split_by_their_own_rows(spark):
+    """Tiny bounds of leaves and samples, fingerprints crowded in one corner, and some that agree in all bits of a half."""
+    rng = np.random.default_rng(13)
+    far = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    crowd = np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 6, replace=False)) for _ in range(500)], np.uint64)
+    same_half = np.uint64(0xFFFF0000) | (rng.integers(0, 1 << 31, 300, dtype=np.uint64) << np.uint64(32))
+    bits = np.unique(np.concatenate([far, far[:50] ^ np.uint64(7), crowd, same_half, same_half[:150] ^ np.uint64(1 << 40)]))
+    nodes = spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "fp long").repartition(3)
+    label = {r["node"]: r["label"] for r in S.components(S.link_fingerprints(nodes, leaf_rows=16, sample_bound=256)).collect()}
+    ours = [label.get(int(x), int(x)) for x in bits.view(np.int64)]
+    root = S._smallest(len(bits), *np.nonzero(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3))
+    groups, theirs = {}, {}
+    for k in range(len(bits)):
+        groups.setdefault(ours[k], set()).add(k)
+        theirs.setdefault(int(root[k]), set()).add(k)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in theirs.values()}
+    assert 1 < max(len(g) for g in groups.values()) < len(bits)
+
+
+def test_splitting_bounds_the_leaves(spark):
+    rng = np.random.default_rng(14)
+    bits = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    masks, settled = S.tree_masks(3), set()
+    rows = spark.createDataFrame([(k, int(x), True) for x in bits.view(np.int64) for k in (0, 1)], "leaf long, fp long, home boolean").repartition(2)
+    next_leaf, rounds = 1, 0
+    while made := S._split_leaves(rows, masks, next_leaf, 100, 512, settled):
+        rows, next_leaf = made
+        rounds += 1
+    sizes = [r["count"] for r in rows.where("home").groupBy("leaf").count().collect()]
+    assert rounds > 1 and not settled and max(sizes) <= 200 and sum(sizes) == 2 * len(bits)
+
+
 def test_routing_reaches_every_link():
     rng = np.random.default_rng(5)
     points = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))

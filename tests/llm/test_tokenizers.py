@@ -170,6 +170,33 @@ def test_expected_counts_weigh_all_segmentations():
     assert dict(got) == pytest.approx(dict(want))
 
 
+def test_training_is_expectation_maximisation():
+    """Three rounds on few words against all their segmentations."""
+    counts = {"x": Counter({"ab": 3, "the": 2, "a": 1}), "y": Counter({"the": 1})}
+    vocabulary = set(U.vocabulary())
+
+    def ways(word):
+        if not word:
+            yield ()
+        for n in range(1, len(word) + 1):
+            if word[:n] in vocabulary:
+                for rest in ways(word[n:]):
+                    yield (word[:n], *rest)
+
+    model = U.LanguageModel.train(counts)
+    for k, lang in enumerate(("x", "y")):
+        p = dict.fromkeys(vocabulary, 1 / len(U.vocabulary()))
+        for _ in range(U.TRAIN_ROUNDS):
+            uses = Counter()
+            for word, n in counts[lang].items():
+                weight = {way: math.prod(p.get(x, U.FLOOR) for x in way) for way in ways(U.MARK + word)}
+                for way, q in weight.items():
+                    for piece in way:
+                        uses[piece] += n * q / sum(weight.values())
+            p = {x: max(U.FLOOR, n / sum(uses.values())) for x, n in uses.items()}
+        assert {x: q[k] for x, q in model.pieces.items()} == pytest.approx({x: p.get(x, U.FLOOR) for x in vocabulary})
+
+
 def log_sums(arcs_from, size):
     """Logarithm of the sum over all ways from 0 to size, in logarithms at every place; arcs_from(k) gives (end, probability)."""
     ways = [0.0, *[-math.inf] * size]
