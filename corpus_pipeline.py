@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import packing, pii, quality, simhash, unigram
-from sheafwork.llm.common import prepare, shared_folder
+from sheafwork.llm.common import delete_folder, prepare, shared_folder
 
 #: Least share of the scaled likelihoods that the predicted language must have.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -58,13 +58,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written to the shared folder and read again."""
+    """Applies the stages to ``documents``, each written to the shared folder and read again.
+
+    A stage's table is removed once the next one's is written. The last stage keeps its own checkpoints and reads no table afterwards.
+    """
     prepare(spark)
     folder = shared_folder(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         rows = stage(spark, docs, sf_dir)
         schema = rows.schema
         rows.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            delete_folder(spark, f"{folder}/{before}")
+        before = name
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    delete_folder(spark, folder)
+    return packed
