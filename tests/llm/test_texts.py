@@ -10,6 +10,7 @@ import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -418,12 +419,79 @@ def test_shards_hold_every_row(spark):
     assert back.columns == docs.columns and back.exceptAll(docs).count() == 0 and docs.exceptAll(back).count() == 0
     third = store.append(version, docs.limit(2))
     assert store.read(third, docs).count() == len(AWKWARD) + 2 and store.read(version, docs).count() == len(AWKWARD)
-    with pytest.raises(Exception, match="(?i)already exists"):
+    with pytest.raises(H.VersionExists):
         store._commit(third, store.manifest(version).drop("version"))
     store.vacuum(third)
+    assert store.versions() == [third]
     assert store.read(third, docs).count() == len(AWKWARD) + 2
 
 
+def test_of_two_writers_one_commits(spark, tmp_path):
+    """Eight writers of one version at once, many times; the manifest is that of one of them, and no writer's rows mix with another's."""
+    store = H.Store(spark, str(tmp_path / "s"))
+    for k in range(1, 21):
+        with ThreadPoolExecutor(8) as pool:
+            done = list(pool.map(lambda n, k=k: attempt(store, f"versions/v{k:06d}", f"writer{n}"), range(8)))
+        assert sum(done) == 1
+        assert spark.read.text(f"{store.root}/versions/v{k:06d}").first()["value"] == f"writer{done.index(True)}"
+    docs = plain_documents(spark)
+    store = H.Store(spark, str(tmp_path / "t"))
+    assert store.latest() is None and store.load(docs) == 1
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda n: attempt_append(store, docs, n), range(2)))
+    assert done.count(None) == 1 and store.latest() == 2
+    assert store.read(2, docs).count() == len(AWKWARD) + 1 + done.index(2)
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda n: store.append_to_latest(docs.limit(1)), range(4))) == [3, 4, 5, 6]
+    assert store.read(6, docs).count() == len(AWKWARD) + 5 + done.index(2)
+
+
+def attempt(store, name, text):
+    try:
+        store._put(name, text)
+        return True
+    except H.VersionExists:
+        return False
+
+
+def attempt_append(store, docs, n):
+    try:
+        return store.append(1, docs.limit(n + 1))
+    except H.VersionExists:
+        return None
+
+
+def test_readers_see_whole_versions_only(spark, tmp_path):
+    """What a writer leaves before its last step is no version, and what it leaves for the reader is the whole manifest."""
+    docs = plain_documents(spark)
+    store = H.Store(spark, str(tmp_path / "s"))
+    store.load(docs)
+    docs.write.parquet(f"{store.root}/shards/waste/run=0")
+    store.manifest(1).write.parquet(f"{store.root}/manifests/unfinished/_temporary/0")
+    (tmp_path / "s" / "drafts").mkdir(exist_ok=True)
+    (tmp_path / "s" / "drafts" / "x").write_text("unfinished")
+    assert store.latest() == 1 and store.read(1, docs).count() == len(AWKWARD)
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        store.manifest(2).count()
+
+
+def test_merged_files_have_the_target_size(spark, tmp_path):
+    """Runs of one tier with uneven shards."""
+    store = H.Store(spark, str(tmp_path / "s"))
+    noise = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.sha2(F.rand().cast("string"), 512).alias("text"))
+    parts = [noise(n).coalesce(1) for n in (900, 2400, 200, 1500, 150, 2900, 700, 1100, 60, 2000)]
+    folder = f"{store.root}/shards/a"
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/run={k}")
+    target = store._shards(folder).agg(F.sum("bytes")).first()[0] // 4
+    with store._scan_by_size(target):
+        spark.read.parquet(f"{folder}/run=*").write.parquet(f"{folder}-merged")
+    sizes = [r["bytes"] for r in store._shards(f"{folder}-merged").collect()]
+    assert len(sizes) <= 6 and max(sizes) <= 1.2 * target and sorted(sizes)[1] > target / 3
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != "0"
+    assert spark.read.parquet(f"{folder}-merged").count() == 11910
+
+
 def test_tiers_merge_runs_of_like_size_only(spark):
     docs = plain_documents(spark, [r for r in AWKWARD if len(r[1] or "") < 1000])
     store, version = H.shard_table(docs.repartition(2), target_bytes=1 << 20)
