@@ -545,55 +545,80 @@ def test_archives_round_trip(spark):
 def archive(*payloads):
     out = b""
     for k, p in enumerate(payloads):
-        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha1:{digest(p)}\r\nContent-Length: {len(p)}\r\n\r\n"
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha1:{digest(p)}\r\nContent-Length: {len(p.encode())}\r\n\r\n"
         out += (head + p).encode() + b"\r\n\r\n"
     return out
 
 
-def test_chains_reach_true_records_only(spark):
-    """Payloads full of records, in blocks of few bytes, against a walk from the start."""
-    random.seed(2)
-    files = []
-    for f in range(12):
-        payloads = [random.choice(["a" * random.randint(0, 400), FAKE * random.randint(1, 4), archive("in", FAKE).decode()]) for _ in range(random.randint(1, 15))]
-        files.append((f"f{f}", bytearray(archive(*payloads)), len(payloads)))
-    frame = spark.createDataFrame([(n, c) for n, c, _ in files], "path string, content binary")
-    original = W.links_of
-    rows = [r for n, c, _ in files for r in original(n, bytes(c), 256)]
-    assert sum(r[3] > 0 for r in rows) > 100
-    found = W.read_archives(frame)
-    got = Counter(r["file"] for r in found.collect())
-    assert got == {n: k for n, _, k in files}
-    for n, c, _ in files:
-        at, walk = 0, []
-        while at < len(c):
-            walk.append(at)
-            at = W.candidate(bytes(c), at)["next"]
-        assert sorted(r["at"] for r in found.where(F.col("file") == n).collect()) == walk
-
-
-def test_small_blocks_need_pointer_jumping(spark, monkeypatch):
-    data = archive(*["p" * k + FAKE * 2 for k in range(40)])
-    frame = spark.createDataFrame([("f", bytearray(data))], "path string, content binary")
-    links = W.links_of("f", data, 512)
-    schema = W._LINKS
-    monkeypatch.setattr(W, "_candidates", "unused")
-    table = spark.createDataFrame([tuple(r) for r in links], schema)
-    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, *_: table)
-    found = W.read_archives(frame, 512)
-    monkeypatch.undo()
-    assert found.count() == 40 and len(links) == 80
-
-
-def test_broken_archives_raise(spark):
-    good = archive("abc", "def")
-    for bad in (good[:-10], good.replace(b"def", b"deX"), b"junk" + good):
+def walked(data):
+    """The places of the records of an archive, one after another from its start; None if a record does not end where one may."""
+    at, out = 0, []
+    while at < len(data):
+        head = data[at:].partition(b"\r\n\r\n")[0]
+        m = re.search(rb"Content-Length: (\d+)", head)
+        stop = at + len(head) + 4 + int(m[1]) if m and head.startswith(W.MAGIC) else len(data) + 1
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            return None
+        out.append(at)
+        at = stop + 4
+    return out
+
+
+def in_ranges(spark, folder, files, width, split):
+    """The records read in ranges of ``split`` bytes, by file."""
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    names = {f"spark.sql.files.{k}": v for k, v in (("maxPartitionBytes", str(split)), ("openCostInBytes", "0"))}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = {}
+        for r in W.read_archives(spark, str(folder), width).collect():
+            out.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["at"])
+        return out
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("width, split", [(256, 1000), (64, 130), (1 << 20, 300), (512, 1 << 20)])
+def test_chains_reach_true_records_only(spark, tmp_path, width, split):
+    """Payloads full of records and of parts of their opening, in blocks and ranges of few bytes, against a walk from the start."""
+    random.seed(width)
+    files = {}
+    for f in range(8):
+        payloads = [random.choice(["a" * random.randint(0, 400), FAKE * random.randint(1, 4), archive("in", FAKE).decode(), "WARC/1.0\r\n" * 5, "WARC/1.WARC/1.0\r", "é\r\n\r\n" * 20, "y" * 2000 + FAKE]) for _ in range(random.randint(1, 15))]
+        files[f"part-{f}"] = archive(*payloads)
+    found = in_ranges(spark, tmp_path / "w", files, width, split)
+    assert {n: sorted(v) for n, v in found.items()} == {n: walked(data) for n, data in files.items()}
+
+
+def test_broken_archives_raise(spark, tmp_path):
+    good = archive("abc", "def", "x" * 300 + FAKE + "y" * 300)
+    assert len(in_ranges(spark, tmp_path / "good", {"part-0": good}, 64, 100)["part-0"]) == 3
+    for k, bad in enumerate((good[:-10], good.replace(b"def", b"deX"), b"junk" + good, good.replace(b"y" * 300, b"y" * 299 + b"z"), good + b"WARC/1.0\r\n", good.replace(b"Length: 3\r", b"Length: 4\r", 1))):
         with pytest.raises(ValueError):
-            W.read_archives(spark.createDataFrame([("f", bytearray(bad))], "path string, content binary"))
+            in_ranges(spark, tmp_path / f"bad{k}", {"part-0": bad}, 64, 100)
+
+
+def test_a_page_longer_than_a_range(spark):
+    """Ten megabytes in ranges of one: its digest is gathered from all of them."""
+    rows = [(1, "x" * 10_000_000), (2, FAKE * 40_000), (3, "short"), (4, "x" * 10_000_000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+        found = W.warc_round_trip(pages(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(i, len(h), digest(h), "revisit" if i == 4 else "response", 1 if i == 4 else None) for i, h in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
 
 
 def test_written_files_are_plain_archives(spark, tmp_path):
     folder = str(tmp_path / "w")
     W.write_archives(pages(spark, [(1, "a"), (2, "b")]).coalesce(1), folder)
-    data = b"".join(zlib.decompress(bytes(r["content"]), 47) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect())
+    data = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect())
     assert data.startswith(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:") and data.endswith(b"\r\n\r\n") and b"\r\nEvil" not in data
+    assert len(walked(data)) == 2
