@@ -28,19 +28,34 @@ def natural_path(sid: Column | str, worksheet_type: Column | str) -> Column:
     return F.concat_ws("/", F.substring(s, 1, 6), kind, F.substring(s, 7, 2), s)
 
 
-def claim_paths(written: DataFrame) -> DataFrame:
+#: What a ledger's path is made of: the natural path, and a number from 2 on if it was taken.
+_PATH = r"^(.*?)(?:_(\d+))?\.pdf$"
+
+
+def taken_paths(ledger: DataFrame, freed: DataFrame) -> DataFrame:
+    """(base, taken): the sorted numbers of each natural path that ledger rows own and keep; those of the tags in ``freed`` go or move."""
+    kept = ledger.select("tag", "path").join(freed.select("tag"), "tag", "left_anti")
+    number = F.coalesce(F.regexp_extract("path", _PATH, 2).try_cast("int"), F.lit(1))
+    return kept.select(F.regexp_extract("path", _PATH, 1).alias("base"), number.alias("n")).groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+
+
+def claim_paths(written: DataFrame, taken: DataFrame) -> DataFrame:
     """Adds ``path``: the natural path for the first of its packets, ``_2``, ``_3`` ... for the others, set-wise by place.
 
     A packet that already owns a path of this name in the ledger (``old_path``) comes before those that do not, in the order of that
-    path's number, so that a rerun changes nothing and a freed natural path is taken again.
+    path's number, so that a rerun changes nothing and a freed natural path is taken again. Numbers that another packet's ledger row
+    keeps (:func:`taken_paths`) are passed over, so that no published file is overwritten by another packet's.
     """
     base = natural_path("sid", "worksheet_type")
-    number = F.coalesce(F.regexp_extract("old_path", r"_(\d+)\.pdf$", 1).try_cast("int"), F.lit(1))
-    own = F.when(F.coalesce(F.startswith("old_path", base), F.lit(False)), number)
-    place = F.row_number().over(Window.partitionBy(base).orderBy(F.asc_nulls_last("_own"), "ord", "tag"))
-    rows = written.withColumn("_own", own).withColumn("_place", place)
+    number = F.coalesce(F.regexp_extract("old_path", _PATH, 2).try_cast("int"), F.lit(1))
+    own = F.when(F.regexp_extract("old_path", _PATH, 1) == base, number)
+    place = F.row_number().over(Window.partitionBy("base").orderBy(F.asc_nulls_last("_own"), "ord", "tag"))
+    rows = written.withColumns({"base": base, "_own": own}).join(taken, "base", "left").withColumn("_place", place)
+    # of the sorted numbers taken, the i-th (from 0) has itself minus i minus 1 free ones below it
+    passed = F.size(F.filter(F.coalesce("taken", F.array().cast("array<int>")), lambda t, i: t - i - 1 < F.col("_place")))
+    rows = rows.withColumn("_place", F.col("_place") + passed)
     suffix = F.when(F.col("_place") > 1, F.concat(F.lit("_"), F.col("_place").cast("string"))).otherwise("")
-    return rows.withColumn("path", F.concat(base, suffix, F.lit(".pdf"))).drop("_own", "_place")
+    return rows.withColumn("path", F.concat("base", suffix, F.lit(".pdf"))).drop("base", "taken", "_own", "_place")
 
 
 def decide(
@@ -86,13 +101,14 @@ def decide(
     for condition, result, why in reversed(steps):
         outcome, reason = F.when(condition, result).otherwise(outcome), F.when(condition, why).otherwise(reason)
     rows = rows.withColumns({"outcome": outcome, "reason": reason})
-    written = claim_paths(rows.where("outcome = 'written'"))
+    written = claim_paths(rows.where("outcome = 'written'"), taken_paths(ledger, rows.where("outcome IN ('written', 'rejected')")))
     rows = rows.where("outcome <> 'written'").withColumn("path", F.lit(None).cast("string")).unionByName(written)
     notes = F.array_compact(
         F.array(
             F.when((F.col("outcome") == "written") & _flag("borderless"), "detection_confirmed"),
             F.when((F.col("outcome") == "written") & issues, "composition_confirmed"),
             F.when(F.col("path").rlike(r"_\d+\.pdf$"), "collision"),
+            F.when(~F.lit(allow_delete) & (F.col("outcome") == "written") & (F.col("old_path") != F.col("path")), "deletion_skipped"),
         )
     )
     return rows.select("tag", "ord", "sid", "worksheet_type", "outcome", "reason", "path", "old_sid", "old_path", notes.alias("notes"))
@@ -126,7 +142,7 @@ def enqueue(queue: DataFrame, decided: DataFrame) -> DataFrame:
     """The manual queue after a run: packets held back for their border enter it, in place of an older row."""
     new = decided.where("outcome = 'held_back' AND reason = 'border_not_detected'")
     new = new.select("tag", "sid", "worksheet_type", "reason")
-    return queue.join(new, "tag", "left_anti").select("tag", "sid", "worksheet_type", "reason").unionByName(new)
+    return queue.join(new, "tag", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def clear_queue(queue: DataFrame, tags: DataFrame) -> DataFrame:
@@ -140,7 +156,7 @@ def release(queue: DataFrame, roster: DataFrame, uncovered: DataFrame, leaks: Da
     rows = rows.join(mark(roster, ["sid"], "known"), "sid", "left")
     reason = F.when(~_flag("known"), "not_on_roster").when(_flag("open"), "flagged_region_uncovered").when(_flag("leaking"), "leak").otherwise("ok")
     rows = rows.withColumn("release_reason", reason)
-    done = claim_paths(rows.where("release_reason = 'ok'"))
+    done = claim_paths(rows.where("release_reason = 'ok'"), taken_paths(ledger, rows.where("release_reason = 'ok'")))
     rest = rows.where("release_reason <> 'ok'").withColumn("path", F.lit(None).cast("string"))
     return rest.unionByName(done).select("tag", "sid", (F.col("release_reason") == "ok").alias("released"), "release_reason", "path")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,51 +27,78 @@ BOTTOM_FORWARD_SLACK = 15
 INK_SHARE = 0.01
 
 
+@dataclass(frozen=True)
+class Search:
+    """Where a page's border is looked for, in points: two spans of the upper and lower rule, one of the sides, and the box without any."""
+
+    upper: tuple[float, float]
+    lower: tuple[float, float]
+    sides: tuple[float, float]
+    guess: tuple[float, float, float, float]
+
+    @classmethod
+    def by_layout(cls) -> Search:
+        """For a page whose labels were not read: the layout's band and some slack."""
+        band = G.BAND_FALLBACK
+        span = band["top"] - CORNER_SLACK, band["bottom"] + CORNER_SLACK
+        return cls(span, span, (band["top"], band["bottom"]), tuple(band[k] for k in ("left", "top", "right", "bottom")))
+
+    @classmethod
+    def by_labels(cls, name_top: float, group_end: float) -> Search:
+        """For a page with labels: the border begins at the name row and ends below the group row."""
+        band = G.BAND_FALLBACK
+        upper, lower = (name_top - TOP_SLACK, name_top + TOP_SLACK), (group_end - BOTTOM_BACK_SLACK, group_end + BOTTOM_FORWARD_SLACK)
+        return cls(upper, lower, (min(band["top"], upper[0]), max(band["bottom"], lower[1])), (band["left"], name_top, band["right"], group_end))
+
+
+class Ink:
+    """A raster's dark points, asked in points for the first or last line in which enough of them lie."""
+
+    def __init__(self, grey: np.ndarray, dpi: float):
+        self.dark, self.unit = grey < DARK_BELOW, dpi / 72
+
+    def _cut(self, span: tuple[float, float], axis: int) -> slice:
+        low, high = (min(max(round(x * self.unit), 0), self.dark.shape[axis]) for x in span)
+        return slice(low, max(low, high))
+
+    def _lines(self, region: np.ndarray, axis: int) -> np.ndarray:
+        return np.flatnonzero(region.mean(axis=axis) >= LINE_SHARE) if region.size else np.zeros(0, int)
+
+    def sides(self, across: tuple[float, float], down: tuple[float, float]) -> list[int]:
+        """The first and the last dark column, as numbers of the raster; none without one."""
+        cut = self._cut(across, 1)
+        found = cut.start + self._lines(self.dark[self._cut(down, 0), cut], 0)
+        return [int(found[0]), int(found[-1])] if len(found) else []
+
+    def rules(self, column: int, down: tuple[float, float]) -> np.ndarray:
+        """The places, in points, of the rows that are dark beside a column: a tilted rule crosses it at one place of its own."""
+        reach, cut = max(1, round(CORNER_WINDOW * self.unit)), self._cut(down, 0)
+        beside = slice(max(0, column - reach), column + reach + 1)
+        return (cut.start + self._lines(self.dark[cut, beside], 1)) / self.unit
+
+
 def detect_band(grey: np.ndarray, dpi: float, name_top: float | None, group_top: float | None, row_height: float, anchored: bool) -> tuple[float, float, float, float, bool]:
     """(left, top, right, bottom, detected) of the printed border around the header, in points.
 
-    Columns dark enough over the searched height give the sides; beside each side that is found the first dark row from above gives
-    the top and the last one the bottom, so a tilted border is enclosed. Where an edge is missing, an anchored page takes what its
-    own labels suggest, and one without labels at least the layout's band.
+    Columns dark enough over the searched height give the sides, and the rules are read off beside each side, so that the box encloses
+    a tilted border. A missing edge takes the place that is guessed. A page without labels is never hidden less than the layout's band
+    does, whatever was detected: a stray line must not uncover a name.
     """
-    fall, unit = G.BAND_FALLBACK, dpi / 72
-    dark = grey < DARK_BELOW
-    height, width = dark.shape
-    want_top = name_top if anchored and name_top is not None else fall["top"]
-    want_bottom = group_top + row_height if anchored and group_top is not None else fall["bottom"]
-
-    def at(points: float, most: int) -> int:
-        return int(min(max(round(points * unit), 0), most))
-
+    layout = G.BAND_FALLBACK
     if anchored:
-        rows = at(min(fall["top"], want_top - TOP_SLACK), height), at(max(fall["bottom"], want_bottom + BOTTOM_FORWARD_SLACK), height)
+        search = Search.by_labels(layout["top"] if name_top is None else name_top, layout["bottom"] if group_top is None else group_top + row_height)
     else:
-        rows = at(fall["top"], height), at(fall["bottom"], height)
-    x0, x1 = at(fall["left"] - SIDE_SLACK, width), at(fall["right"] + SIDE_SLACK, width)
-    share = dark[rows[0] : rows[1], x0:x1].mean(axis=0) if rows[1] > rows[0] and x1 > x0 else np.zeros(0)
-    sides = np.nonzero(share >= LINE_SHARE)[0]
-    left = (x0 + sides[0]) / unit if len(sides) else None
-    right = (x0 + sides[-1]) / unit if len(sides) and sides[-1] != sides[0] else None
-    tops, bottoms = [], []
-    for side in (left, right):
-        if side is None:
-            continue
-        strip = dark[:, at(side - CORNER_WINDOW, width) : at(side + CORNER_WINDOW, width) + 1].mean(axis=1)
-        if anchored:
-            upper = at(want_top - TOP_SLACK, height), at(want_top + TOP_SLACK, height)
-            lower = at(want_bottom - BOTTOM_BACK_SLACK, height), at(want_bottom + BOTTOM_FORWARD_SLACK, height)
-        else:
-            upper = lower = at(fall["top"] - CORNER_SLACK, height), at(fall["bottom"] + CORNER_SLACK, height)
-        first = np.nonzero(strip[upper[0] : upper[1]] >= LINE_SHARE)[0]
-        last = np.nonzero(strip[lower[0] : lower[1]] >= LINE_SHARE)[0]
-        tops += [(upper[0] + first[0]) / unit] if len(first) else []
-        bottoms += [(lower[0] + last[-1]) / unit] if len(last) else []
-    detected = left is not None and right is not None and bool(tops) and bool(bottoms)
-    top, bottom = (min(tops) if tops else want_top), (max(bottoms) if bottoms else want_bottom)
-    left, right = (fall["left"] if left is None else left), (fall["right"] if right is None else right)
-    if not anchored and not detected:
-        left, top, right, bottom = min(left, fall["left"]), min(top, fall["top"]), max(right, fall["right"]), max(bottom, fall["bottom"])
-    return left, top, right, bottom, detected
+        search = Search.by_layout()
+    ink = Ink(grey, dpi)
+    sides = ink.sides((layout["left"] - SIDE_SLACK, layout["right"] + SIDE_SLACK), search.sides)
+    upper = [rows[0] for rows in (ink.rules(column, search.upper) for column in sides) if len(rows)]
+    lower = [rows[-1] for rows in (ink.rules(column, search.lower) for column in sides) if len(rows)]
+    found = [column / ink.unit for column in sides] or [None, None]
+    edges = found[0], min(upper, default=None), found[1], max(lower, default=None)
+    box = tuple(float(guess if edge is None else edge) for edge, guess in zip(edges, search.guess, strict=True))
+    if not anchored:
+        box = tuple(outer(edge, floor) for outer, edge, floor in zip((min, min, max, max), box, search.guess, strict=True))
+    return (*box, None not in edges)
 
 
 def detect_bands(rasters: DataFrame, anchors: DataFrame) -> DataFrame:

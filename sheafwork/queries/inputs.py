@@ -115,7 +115,14 @@ SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, CAST(o_orderkey AS INT) A
 """
 DECISIONS = f"SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE {_SID} END AS sid FROM orders WHERE o_orderpriority <> '5-LOW'"
 RUN_ROSTER = f"SELECT DISTINCT {_SID} AS sid FROM (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal >= 0)"
-LEDGER = f"SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, {_SID} AS sid, concat('old/', CAST(o_custkey AS STRING), '/', CAST(o_orderkey AS STRING), '.pdf') AS path FROM orders WHERE o_totalprice < 150000"
+#: Earlier outputs: two thirds under paths of their own, a third under natural ones, numbered where several share one.
+LEDGER = f"""
+SELECT tag, sid, CASE WHEN k % 3 > 0 THEN concat('old/', CAST(c AS STRING), '/', CAST(k AS STRING), '.pdf')
+  ELSE concat(base, CASE WHEN n > 1 THEN concat('_', CAST(n AS STRING)) ELSE '' END, '.pdf') END AS path
+FROM (SELECT tag, sid, k, c, base, row_number() OVER (PARTITION BY base, k % 3 ORDER BY k DESC) AS n FROM (
+  SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, {_SID} AS sid, o_orderkey AS k, o_custkey AS c,
+    concat(substr({_SID}, 1, 6), '/T', CAST(o_orderkey % 2 AS STRING), '/', substr({_SID}, 7, 2), '/', {_SID}) AS base FROM orders WHERE o_totalprice < 150000) AS inner_rows) AS numbered
+"""
 HELD_TAGS = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag FROM orders WHERE o_totalprice > 400000"
 BORDERLESS_TAGS = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag FROM orders WHERE o_totalprice BETWEEN 200000 AND 250000"
 LEAK_TAGS = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag FROM orders WHERE o_totalprice BETWEEN 240000 AND 270000"
@@ -123,7 +130,7 @@ SEEN_TAGS = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag FROM orders W
 CONFIRMED_TAGS = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag FROM orders WHERE o_orderpriority = '1-URGENT'"
 ROUND_OF_TAG = "SELECT concat('o', CAST(o_orderkey AS STRING)) AS tag, concat(CAST(year(o_orderdate) AS STRING), '-01') AS label FROM orders WHERE o_orderpriority <> '2-HIGH'"
 
-#: Published words, one text a page; and a roster whose names are the first two words of the benchmark's texts.
+#: Published words, one text a page.
 OUTPUT_WORDS = "SELECT concat('v', CAST(conv_id AS STRING)) AS file_id, CAST(turn AS INT) AS page_idx, text FROM conversations"
 DOCUMENT_WORDS = "SELECT concat('d', CAST(doc_id AS STRING)) AS file_id, CAST(0 AS INT) AS page_idx, text FROM documents"
 

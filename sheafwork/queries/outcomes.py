@@ -62,6 +62,33 @@ def text_operators(w: DataFrame) -> DataFrame:
     return rows.select("file_id", "page_idx", "word_seq", F.round("size", 6).alias("size"), F.round("baseline", 6).alias("baseline"), X.pdf_escaped("text").alias("escaped"))
 
 
+#: Printed borders on blank pages of 612 x 200 points; every fifth has none, and every third has labels that say where it is.
+_BORDERS = """SELECT CAST(s_suppkey AS INT) AS page_idx, CAST(15 + s_suppkey % 46 AS INT) AS l, CAST(51 + s_suppkey % 13 AS INT) AS t, CAST(545 + s_suppkey % 53 AS INT) AS r, CAST(128 + s_suppkey % 27 AS INT) AS b,
+  s_suppkey % 5 > 0 AS drawn, s_suppkey % 3 = 0 AS labelled FROM supplier"""
+
+
+@query(
+    """SELECT page_idx, drawn AS detected, CASE WHEN labelled THEN CASE WHEN drawn THEN l ELSE 38 END ELSE CASE WHEN drawn THEN least(l, 38) ELSE 38 END END::DOUBLE AS l,
+    CASE WHEN labelled THEN CASE WHEN drawn THEN t ELSE t + 9 END ELSE CASE WHEN drawn THEN least(t, 58) ELSE 58 END END::DOUBLE AS t,
+    CASE WHEN labelled THEN CASE WHEN drawn THEN r ELSE 574 END ELSE CASE WHEN drawn THEN greatest(r, 574) ELSE 574 END END::DOUBLE AS r,
+    CASE WHEN labelled THEN CASE WHEN drawn THEN b ELSE b - 4 END ELSE CASE WHEN drawn THEN greatest(b, 148) ELSE 148 END END::DOUBLE AS b FROM p""",
+    p=_BORDERS,
+)
+def detected_bands(p: DataFrame) -> DataFrame:
+    """A border that is found stands as it is where labels say so, and is widened to the layout's band elsewhere."""
+    white, black = (lambda n: F.repeat(F.lit("FF"), n)), (lambda n: F.repeat(F.lit("00"), n))
+    c, width = F.col, 612
+    blank, edge = white(F.lit(width)), F.concat(white(c("l")), black(c("r") - c("l") + 1), white(width - 1 - c("r")))
+    sides = F.concat(white(c("l")), black(F.lit(1)), white(c("r") - c("l") - 1), black(F.lit(1)), white(width - 1 - c("r")))
+    page = F.concat(F.repeat(blank, c("t")), edge, F.repeat(sides, c("b") - c("t") - 1), edge, F.repeat(blank, 199 - c("b")))
+    grey = F.unhex(F.when(c("drawn"), page).otherwise(F.repeat(blank, F.lit(200))))
+    key = F.lit("f").alias("file_id"), "page_idx"
+    rasters = p.select(*key, grey.alias("grey"), F.lit(200).alias("n_rows"), F.lit(width).alias("n_cols"), F.lit(72.0).alias("dpi"))
+    label = [c("labelled").alias(f"{name}_found") for name in ("name", "teacher", "group")]
+    anchors = p.select(*key, (c("t") + 9.0).alias("name_top"), (c("b") - 24.0).alias("group_top"), F.lit(20.0).alias("row_height"), *label)
+    return R.detect_bands(rasters, anchors).select("page_idx", "detected", "band.l", "band.t", "band.r", "band.b")
+
+
 #: The decision table: the first condition that holds.
 _DECIDE = r"""WITH j AS (SELECT p.tag, p.ord, d.sid, p.worksheet_type, p.issue, d.tag IS NOT NULL AS decided, l.path AS old_path, l.sid AS old_sid, r.sid IS NOT NULL AS known,
     p.tag IN (SELECT tag FROM held) AS held, p.tag IN (SELECT tag FROM borderless) AS borderless, p.tag IN (SELECT tag FROM leaking) AS leaking, p.tag IN (SELECT tag FROM seen) AS seen, p.tag IN (SELECT tag FROM confirmed) AS confirmed
@@ -70,9 +97,19 @@ c AS (SELECT *, CASE WHEN NOT decided AND held THEN 'consent_hold/held_name' WHE
     WHEN NOT known THEN 'held_back/not_on_roster' WHEN issue IS NOT NULL AND NOT (confirmed AND issue = 'total_mismatch') THEN 'held_back/issues' WHEN borderless AND NOT seen THEN 'held_back/border_not_detected'
     WHEN leaking THEN 'held_back/leak' ELSE 'written/ok' END AS v FROM j),
 o AS (SELECT *, split_part(v, '/', 1) AS outcome, split_part(v, '/', 2) AS reason, concat_ws('/', substr(sid, 1, 6), worksheet_type, substr(sid, 7, 2), sid) AS base FROM c),
-q AS (SELECT *, row_number() OVER (PARTITION BY outcome, base ORDER BY ord, tag) AS place FROM o),
-z AS (SELECT tag, ord, sid, worksheet_type, outcome, reason, CASE WHEN outcome = 'written' THEN concat(base, CASE WHEN place > 1 THEN concat('_', place) ELSE '' END, '.pdf') END AS path, old_sid, old_path FROM q)
+q AS (SELECT *, row_number() OVER (PARTITION BY outcome, base ORDER BY CASE WHEN regexp_replace(old_path, '(_[0-9]+)?\.pdf$', '') = base THEN coalesce(TRY_CAST(regexp_extract(old_path, '_([0-9]+)\.pdf$', 1) AS INT), 1) END NULLS LAST, ord, tag) AS place FROM o),
+"""
+#: The free numbers of each natural path among the ledger rows that stay, counted off one by one: place k takes the k-th.
+_FREE = r"""kept AS (SELECT regexp_replace(path, '(_[0-9]+)?\.pdf$', '') AS base, coalesce(TRY_CAST(regexp_extract(path, '_([0-9]+)\.pdf$', 1) AS INT), 1) AS n FROM l WHERE tag NOT IN (SELECT tag FROM {gone})),
+sizes AS (SELECT base, count(*) AS c, max(n) AS m FROM (SELECT base, 1 AS n FROM {wanted} UNION ALL SELECT base, n FROM kept) GROUP BY base),
+free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS place FROM (SELECT base, unnest(range(1, c + m + 1)) AS n FROM sizes) AS s WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.base = s.base AND kept.n = s.n))
 """
+_DECIDE += (
+    _FREE.format(gone="o WHERE outcome IN ('written', 'rejected')", wanted="o WHERE outcome = 'written'")
+    + """, z AS (SELECT tag, ord, sid, worksheet_type, outcome, reason, CASE WHEN outcome = 'written' THEN concat(q.base, CASE WHEN free.n > 1 THEN concat('_', free.n) ELSE '' END, '.pdf') END AS path, old_sid, old_path
+  FROM q LEFT JOIN free ON q.base = free.base AND q.place = free.place)
+"""
+)
 _RUN = {
     "p": I.RUN_PACKETS,
     "d": I.DECISIONS,
@@ -142,8 +179,11 @@ def queue_enqueue(**t: DataFrame) -> DataFrame:
     + """, n AS (SELECT tag, sid, worksheet_type FROM z WHERE outcome = 'held_back'),
     g AS (SELECT n.*, CASE WHEN n.sid NOT IN (SELECT sid FROM r) THEN 'not_on_roster' WHEN tag IN (SELECT tag FROM borderless) AND tag NOT IN (SELECT tag FROM seen) THEN 'flagged_region_uncovered' WHEN tag IN (SELECT tag FROM leaking) THEN 'leak' ELSE 'ok' END AS release_reason,
       concat_ws('/', substr(sid, 1, 6), worksheet_type, substr(sid, 7, 2), sid) AS base FROM n),
-    y AS (SELECT *, row_number() OVER (PARTITION BY release_reason, base ORDER BY tag) AS place FROM g)
-    SELECT tag, sid, release_reason = 'ok' AS released, release_reason, CASE WHEN release_reason = 'ok' THEN concat(base, CASE WHEN place > 1 THEN concat('_', place) ELSE '' END, '.pdf') END AS path FROM y""",
+    h AS (SELECT g.*, CASE WHEN regexp_replace(path, '(_[0-9]+)?\\.pdf$', '') = base THEN coalesce(TRY_CAST(regexp_extract(path, '_([0-9]+)\\.pdf$', 1) AS INT), 1) END AS own FROM g LEFT JOIN l ON g.tag = l.tag),
+    y AS (SELECT *, row_number() OVER (PARTITION BY release_reason, base ORDER BY own NULLS LAST, tag) AS place FROM h), """
+    + _FREE.replace("kept", "kept2").replace("sizes", "sizes2").replace("free", "free2").format(gone="g WHERE release_reason = 'ok'", wanted="g WHERE release_reason = 'ok'")
+    + """SELECT tag, sid, release_reason = 'ok' AS released, release_reason, CASE WHEN release_reason = 'ok' THEN concat(y.base, CASE WHEN free2.n > 1 THEN concat('_', free2.n) ELSE '' END, '.pdf') END AS path
+    FROM y LEFT JOIN free2 ON y.base = free2.base AND y.place = free2.place""",
     **_RUN,
 )
 def queue_release(**t: DataFrame) -> DataFrame:
@@ -172,6 +212,15 @@ def path_owners(**t: DataFrame) -> DataFrame:
     return O.path_owner(rows)
 
 
+@query(
+    _DECIDE + "SELECT path, count(*) AS n_owners FROM (SELECT path FROM l WHERE tag NOT IN (SELECT tag FROM o WHERE outcome IN ('written', 'rejected')) UNION ALL SELECT path FROM z WHERE path IS NOT NULL) GROUP BY path",
+    **_RUN,
+)
+def ledger_owners(**t: DataFrame) -> DataFrame:
+    """Every path of the ledger after a run has one owner."""
+    return O.merge_ledger(t["l"], _run(**t)).groupBy("path").agg(F.count("*").alias("n_owners"))
+
+
 @query("SELECT tag, sid FROM d WHERE sid IS NOT NULL AND substr(sid, 7, 2) <> '02'", d=I.DECISIONS)
 def scope_mismatches(d: DataFrame) -> DataFrame:
     return D.scope_mismatches(d, "02")
