@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +67,26 @@ def _block_gate(spark: SparkSession, args: argparse.Namespace, made: P.Stages, d
     return None
 
 
-def _outcomes(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, P.Stages, DataFrame, DataFrame, P.Inputs]:
+@dataclass
+class _Run:
+    """What a run or a dry run has worked out."""
+
+    inputs: P.Inputs
+    made: P.Stages
+    decisions: DataFrame
+    ledger: DataFrame
+    outcomes: DataFrame
+    plan: DataFrame
+    kept: DataFrame
+
+
+def _outcomes(spark: SparkSession, args: argparse.Namespace) -> _Run:
     inputs, bands = load_inputs(spark, args)
     stem = _stem(args.scan)
     decisions = sidecars.read_decisions(spark, f"{args.decisions}/{stem}.json")
-    ledger = sidecars.read_ledger(spark, f"{args.out}/.ledger/{stem}.json")
+    ledger = sidecars.read_ledger(spark, f"{args.out}/.ledger/{stem}.json").cache()
     made = P.stages(inputs)
-    outcomes, published = P.run_dispositions(
+    outcomes, _ = P.run_dispositions(
         inputs,
         decisions,
         ledger,
@@ -80,25 +94,42 @@ def _outcomes(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame,
         composition_overrides=sidecars.read_tags(spark, f"{args.decisions}/{stem}.composition.json"),
         bands=bands,
         allow_delete=not args.no_delete,
+        tags=made.grouped.where(F.col("label") == args.round).select("tag") if args.round else None,
     )
-    if args.round:
-        tags = made.grouped.where(F.col("label") == args.round).select("tag")
-        outcomes = outcomes.join(tags, "tag", "left_semi")
-    return outcomes.cache(), published, made, decisions, ledger, inputs
+    plan, kept = P.redaction_plan(inputs, made, bands)
+    return _Run(inputs, made, decisions, ledger, outcomes.cache(), plan, kept)
 
 
 def cmd_run(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Applies decisions: writes the published words by path, then the ledger. 1 if anything was held back."""
-    outcomes, published, made, decisions, ledger, _ = _outcomes(spark, args)
-    print(T.rounds_text(R.round_summary(made.grouped)))
-    why = _block_gate(spark, args, made, decisions)
+    """Applies decisions: writes PDF files and their words, removes files, keeps the queue and the ledger. 1 if anything was held back.
+
+    What belongs to packets that this run does not write or reject (other rounds, packets that are pending again) stays as it is.
+    """
+    run = _outcomes(spark, args)
+    outcomes, stem = run.outcomes, _stem(args.scan)
+    print(T.rounds_text(R.round_summary(run.made.grouped)))
+    why = _block_gate(spark, args, run.made, run.decisions)
     if why:
         print(why)
         return 2
-    print(T.duplicates_text(_duplicates(decisions, made)))
-    shown = published.join(outcomes.where("path IS NOT NULL").select("tag", "path"), "tag").withColumn("folder", F.substring_index("path", "/", 3))
-    shown.drop("tag").write.mode("overwrite").partitionBy("folder").parquet(f"{args.out}/words/{_stem(args.scan)}")
-    sidecars.write_ledger(spark, O.merge_ledger(ledger, outcomes).cache(), f"{args.out}/.ledger/{_stem(args.scan)}.json", ledger)
+    print(T.duplicates_text(_duplicates(run.decisions, run.made)))
+    files = P.published_files(run.inputs, run.made, run.plan, run.kept, outcomes)
+    for row in files.toLocalIterator():  # the packets of one scan, one at a time
+        documents.write_file(spark, f"{args.out}/{row['path']}", bytes(row["content"]))
+    pages = run.made.packets.select("file_id", "tag", F.explode("page_indices").alias("page_idx"))
+    written = outcomes.where("outcome = 'written'").select("tag", "path")
+    shown = run.kept.join(pages, ["file_id", "page_idx"]).join(written, "tag").withColumn("packet", F.col("tag"))
+    words = f"{args.out}/words/{stem}"
+    shown.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("packet").parquet(words)
+    for row in O.deletions(outcomes, not args.no_delete).select("old_path").collect():
+        documents.delete_file(spark, f"{args.out}/{row['old_path']}")
+    for row in outcomes.where("outcome = 'rejected'").select("tag").collect():
+        documents.delete_file(spark, f"{words}/packet={row['tag']}")
+    folder = f"{args.out}/.manual_queue/{stem}"
+    queue = sidecars.read_queue(spark, folder)
+    held = O.enqueue(O.clear_queue(queue, written.select("tag")), outcomes).withColumn("pdf_path", F.coalesce("pdf_path", F.lit(args.scan)))
+    sidecars.write_queue(spark, held, folder)
+    sidecars.write_ledger(spark, O.merge_ledger(run.ledger, outcomes), f"{args.out}/.ledger/{stem}.json", run.ledger)
     print(T.counts_text(O.run_summary(outcomes), "Outcomes"))
     return int(outcomes.where("outcome = 'held_back'").limit(1).count() > 0)
 
@@ -111,8 +142,8 @@ def _duplicates(decisions: DataFrame, made: P.Stages) -> DataFrame:
 
 def cmd_analyze(spark: SparkSession, args: argparse.Namespace) -> int:
     """Holds by round of a dry run; nothing is written."""
-    outcomes, _, made, *_ = _outcomes(spark, args)
-    print(T.holds_text(P.analyze(outcomes, made.grouped)))
+    run = _outcomes(spark, args)
+    print(T.holds_text(P.analyze(run.outcomes, run.made.grouped)))
     return 0
 
 

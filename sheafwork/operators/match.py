@@ -1,8 +1,8 @@
 """Names to roster entries: scoring, ranked candidates, margins, held names, exclusive assignment.
 
 ``probes(file_id, tag, ord, round, name_text)``, ``roster(ord, sid, last_name, first_name)``, ``held(ord, last_name, first_name)``.
-A score needs every pair of a packet and an entry, so the smaller side, the roster of a class, is sent to all tasks if its counted
-size allows; a larger one is joined without a hint. Equal names are scored once.
+A score needs every pair of a packet and an entry of its class, which meet in an equality join. Where there is one roster and no class
+it is sent to all tasks, if its counted size allows; a larger one is refused. Equal names are scored once.
 """
 
 from __future__ import annotations
@@ -19,18 +19,19 @@ from sheafwork.session import ship_package
 #: The least score and the least lead over the next candidate that assign without a human.
 LEAST_SCORE = 82.0
 LEAST_MARGIN = 12.0
-#: Entries of a roster that are sent to every task; a larger roster is spread like the probes.
+#: Entries of a roster without classes at most; it is sent to every task.
 BROADCAST_ROWS = 200_000
 
 Scorer = Callable[[Column, Column, Column], Column]
 
 
-def _entries(entries: DataFrame) -> DataFrame:
-    return F.broadcast(entries) if entries.count() <= BROADCAST_ROWS else entries
-
-
 def _beside(left: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
-    return left.join(entries, by) if by else left.crossJoin(_entries(entries))
+    """Each text with each entry of its class. Without a class that is every entry, which is meant for one roster: a larger one raises."""
+    if by:
+        return left.join(entries, by)
+    if entries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a roster of over {BROADCAST_ROWS} names needs a class key: by=[...]")
+    return left.crossJoin(F.broadcast(entries))
 
 
 def score_pairs(probes: DataFrame, entries: DataFrame, scorer: Scorer = fuzzy.name_score, by: list[str] | None = None) -> DataFrame:

@@ -23,6 +23,10 @@ CORNER_SLACK = 8
 TOP_SLACK = 15
 BOTTOM_BACK_SLACK = 5
 BOTTOM_FORWARD_SLACK = 15
+# Fixed values of the stamp on a hidden header, in points.
+STAMP_SIZE = 22.0
+STAMP_PADDING = 8.0
+STAMP_SPACING = 4.0
 #: Fixed value: the share of dark points from which a region holds ink.
 INK_SHARE = 0.01
 
@@ -187,6 +191,24 @@ def text_operators(words: DataFrame, page_height: Column) -> DataFrame:
     return rows.withColumn("operator", shown)
 
 
+def mark_operators(headers: DataFrame) -> DataFrame:
+    """(file_id, page_idx, word_seq, operator): black boxes over each header, and white lines from the first box's upper left corner.
+
+    ``headers(file_id, page_idx, boxes, lines, height)``; places come before those of words, so that marks are drawn first.
+    """
+    area = lambda b: F.format_string("q 0 g %.2f %.2f %.2f %.2f re f Q", b["l"], F.col("height") - b["b"], b["r"] - b["l"], b["b"] - b["t"])
+    boxes = headers.select("file_id", "page_idx", F.posexplode(F.transform("boxes", area)).alias("k", "operator"))
+    from sheafwork.functions.text import pdf_escaped
+
+    first = F.get("boxes", 0)
+    lines = headers.select("file_id", "page_idx", "height", first.alias("b"), F.posexplode("lines").alias("k", "line"))
+    x, y = F.col("b.l") + STAMP_PADDING, F.col("height") - F.col("b.t") - STAMP_PADDING - (F.col("k") + 1) * STAMP_SIZE - F.col("k") * STAMP_SPACING
+    shown = F.format_string("BT 0 Tr 1 g /F1 %.2f Tf 1.0000 0 0 1 %.2f %.2f Tm (%s ) Tj ET", F.lit(STAMP_SIZE), x, y, pdf_escaped("line"))
+    stamps = lines.select("file_id", "page_idx", "k", shown.alias("operator"))
+    place = lambda rows, least: rows.select("file_id", "page_idx", (F.col("k") + least).alias("word_seq"), "operator")
+    return place(boxes, -2000).unionByName(place(stamps, -1000))
+
+
 def draw_boxes(grey: np.ndarray, boxes: list[tuple[float, float, float, float]], dpi: float) -> np.ndarray:
     """A copy of a page's raster with black boxes; edges are rounded outwards."""
     out, unit = grey.copy(), dpi / 72
@@ -195,6 +217,22 @@ def draw_boxes(grey: np.ndarray, boxes: list[tuple[float, float, float, float]],
     return out
 
 
+def redacted_rasters(rasters: DataFrame, plan: DataFrame) -> DataFrame:
+    """(file_id, page_idx, grey, n_rows, n_cols) with the boxes of ``plan(file_id, page_idx, boxes)`` drawn; other pages as they are."""
+    ship_package(rasters.sparkSession)
+    rows = rasters.select("file_id", "page_idx", "grey", "n_rows", "n_cols", "dpi").join(plan.select("file_id", "page_idx", "boxes"), ["file_id", "page_idx"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            drawn = []
+            for r in batch.itertuples():
+                grey = np.frombuffer(r.grey, np.uint8).reshape(r.n_rows, r.n_cols)
+                drawn.append(r.grey if r.boxes is None else draw_boxes(grey, [(b["l"], b["t"], b["r"], b["b"]) for b in r.boxes], r.dpi).tobytes())
+            yield pd.DataFrame({"file_id": batch["file_id"], "page_idx": batch["page_idx"], "grey": drawn, "n_rows": batch["n_rows"], "n_cols": batch["n_cols"]})
+
+    return rows.mapInPandas(run, "file_id string, page_idx int, grey binary, n_rows int, n_cols int")
+
+
 def ink_share(grey: np.ndarray, box: tuple[float, float, float, float], dpi: float) -> float:
     """The share of dark points in a region; 0 for an empty one."""
     unit = dpi / 72

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions import fuzzy
+from sheafwork.functions import text as X
 from sheafwork.operators import dispositions as O
 from sheafwork.operators import leak, match, redaction, rounds
 from sheafwork.operators import orientation as R
 from sheafwork.operators import segmentation as S
+from sheafwork.sources import documents
 
 
 @dataclass
@@ -28,6 +30,11 @@ class Inputs:
     rasters: DataFrame | None = None
     manual_boxes: DataFrame | None = None
 
+    @property
+    def by(self) -> list[str] | None:
+        """The class key of names: a roster of many scans says which scan each entry belongs to; that of one scan needs none."""
+        return ["file_id"] if "file_id" in self.roster.columns else None
+
 
 @dataclass
 class Stages:
@@ -57,11 +64,11 @@ def stages(inputs: Inputs) -> Stages:
     return Stages(filled, fields, S.header_anchors(inputs.words), dated, rounds.round_groups(dated), oriented)
 
 
-def propose_all(made: Stages, roster: DataFrame, held: DataFrame | None = None, scorer: match.Scorer = fuzzy.name_score) -> DataFrame:
+def propose_all(made: Stages, roster: DataFrame, held: DataFrame | None = None, scorer: match.Scorer = fuzzy.name_score, by: list[str] | None = None) -> DataFrame:
     """Proposals and automatic assignments of all packets; those without a header page have no name and no candidate clears the bar."""
     labels = made.grouped.select("file_id", "tag", F.col("label").alias("round"))
     probes = made.packets.select("file_id", "tag", F.col("packet_index").alias("ord"), "name_text").join(labels, ["file_id", "tag"], "left")
-    return match.assign_exclusive(match.propose(probes, roster, held, scorer))
+    return match.assign_exclusive(match.propose(probes, roster, held, scorer, by))
 
 
 def preflight(inputs: Inputs, scorer: match.Scorer = fuzzy.name_score, bands: DataFrame | None = None) -> DataFrame:
@@ -71,7 +78,7 @@ def preflight(inputs: Inputs, scorer: match.Scorer = fuzzy.name_score, bands: Da
     detected (null where no raster was given), n_uncovered, n_issues, blocked, cannot_process and clean.
     """
     made = stages(inputs)
-    proposals = propose_all(made, inputs.roster, inputs.held, scorer)
+    proposals = propose_all(made, inputs.roster, inputs.held, scorer, inputs.by)
     rows = made.packets.join(proposals.select("file_id", "tag", "round", "top_score", "auto_sid", "is_held_match"), ["file_id", "tag"], "left")
     if inputs.rasters is not None and bands is None:
         bands = redaction.detect_bands(inputs.rasters, made.anchors)
@@ -157,8 +164,10 @@ def run_dispositions(
     full_roster: DataFrame | None = None,
     allow_delete: bool = True,
     scorer: match.Scorer = fuzzy.name_score,
+    tags: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, words that would be published).
+    """(outcomes, words that would be published). With ``tags`` only these packets are looked at; the ledger is whole, so that the paths
+    of others stay theirs.
 
     Held matches are looked for among undecided packets only, leaks among decided ones only: the costly joins see no other rows. The
     leak check uses the roster of the run, or ``full_roster``.
@@ -166,9 +175,11 @@ def run_dispositions(
     made = stages(inputs)
     plan, kept = redaction_plan(inputs, made, bands)
     packets = made.packets.select("file_id", "tag", F.col("packet_index").alias("ord"), "worksheet_type", "issues", "header_page", "page_indices", "name_text")
+    if tags is not None:
+        packets = packets.join(tags.select("tag"), "tag", "left_semi")
     undecided = packets.join(decisions.select("tag"), "tag", "left_anti")
     probes = undecided.select("file_id", "tag", "ord", F.lit("").alias("round"), "name_text")
-    held = match.propose(probes, inputs.roster, inputs.held, scorer).where("is_held_match").select("tag")
+    held = match.propose(probes, inputs.roster, inputs.held, scorer, inputs.by).where("is_held_match").select("tag")
     decided = packets.join(decisions.where("sid IS NOT NULL").select("tag"), "tag", "left_semi")
     lacking = decided.join(plan.where("detected").select("file_id", F.col("page_idx").alias("header_page")), ["file_id", "header_page"], "left_anti").select("tag")
     shown = decided.select("file_id", "tag", F.explode("page_indices").alias("page_idx")).join(kept, ["file_id", "page_idx"])
@@ -189,6 +200,26 @@ def run_dispositions(
     return outcomes, published
 
 
+def published_files(inputs: Inputs, made: Stages, plan: DataFrame, kept: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(path, content): the PDF of each written packet, the boxes over its header, the stamp, and the words that stay.
+
+    A page's raster is drawn with its boxes if ``inputs.rasters`` has it; else the page holds vector boxes and the text layer.
+    """
+    written = outcomes.where("outcome = 'written'").select("tag", "sid", "path")
+    places = made.packets.join(written.select("tag"), "tag", "left_semi").select("file_id", "tag", "header_page", F.posexplode("page_indices").alias("offset", "page_idx"))
+    pages = places.join(inputs.pages.select("file_id", "page_idx", "width", "height"), ["file_id", "page_idx"])
+    boxes = plan.select("file_id", "page_idx", "boxes")
+    heads = pages.join(boxes, ["file_id", "page_idx"]).join(written, "tag").withColumn("lines", X.stamp_lines("sid"))
+    marks = redaction.mark_operators(heads.select("file_id", "page_idx", "boxes", "lines", "height"))
+    words = kept.join(pages.select("file_id", "page_idx", "height"), ["file_id", "page_idx"])
+    texts = redaction.text_operators(words, F.col("height")).select("file_id", "page_idx", "word_seq", "operator").unionByName(marks)
+    operators = texts.join(places.select("file_id", "page_idx", "tag", "offset"), ["file_id", "page_idx"]).select("tag", "offset", "word_seq", "operator")
+    shown = pages.select("file_id", "page_idx", "tag", "offset", "width", "height")
+    if inputs.rasters is not None:
+        shown = shown.join(redaction.redacted_rasters(inputs.rasters, boxes), ["file_id", "page_idx"], "left")
+    return documents.publish(operators, shown.drop("file_id", "page_idx"), written.select("tag", "path"))
+
+
 def analyze(outcomes: DataFrame, grouped: DataFrame) -> DataFrame:
     """Holds by round, from a dry run of the outcomes."""
     return O.holds_by_round(outcomes, grouped)

@@ -181,6 +181,24 @@ def read_pdf(data: bytes) -> list[tuple[float, float, list[tuple[str, float, flo
     return out
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Puts a file in place by a rename, so that nobody reads a part of it."""
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(content))
+    out.close()
+    files.delete(target, False)
+    files.rename(draft, target)
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def publish(operators: DataFrame, pages: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, content): the PDF of each packet, from text operators (tag, offset, word_seq, operator), pages (tag, offset, width, height)
     and paths (tag, path). Redacted rasters, where there are any, come in ``pages`` as grey, n_rows and n_cols.

@@ -1,10 +1,15 @@
 """JSON sidecars beside a scan, as tables: decisions, overrides, orientation, page order, geometry, blocks, ledger, queue, provenance.
 
-A missing file is an empty table. Writers replace a file's folder by one JSON document.
+A missing file is an empty table. Writers replace a file's folder by one JSON document: it is written beside the old one, which steps
+aside under ``.old`` until the new one stands in its place. Readers that find only what stepped aside read that, so a writer that dies
+at any point loses nothing.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +19,28 @@ from sheafwork.sources.roster import exists
 BOX = "struct<l:double,t:double,r:double,b:double>"
 
 
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The path, or that of what stepped aside for a successor that never came; None without either."""
+    return next((p for p in (path, f"{path}.old") if exists(spark, p)), None)
+
+
 def _text(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("json")) if exists(spark, path) else None
+    found = _current(spark, path)
+    return None if found is None else spark.read.text(found, wholetext=True).select(F.col("value").alias("json"))
+
+
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Lets ``write`` make a new folder beside ``path`` and puts it in its place by renames; what it reads may be the old one."""
+    jvm = spark.sparkContext._jvm
+    target, aside, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old", f"{path}.{uuid.uuid4().hex}"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write(fresh.toString())
+    if files.exists(target):
+        files.delete(aside, True)
+        files.rename(target, aside)
+    if not files.rename(fresh, target):
+        raise OSError(f"cannot put {path} in place")
+    files.delete(aside, True)
 
 
 def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,6 +81,13 @@ def read_geometry(spark: SparkSession, path: str) -> DataFrame:
     return head.unionByName(more.select("tag", F.col("offset").cast("int").alias("offset"), boxes(F.col("r")).alias("boxes")))
 
 
+def read_geometry_bands(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, band): the border that a reviewer drew for a packet's header."""
+    rows = _parsed(spark, path, "map<string,struct<band_override:struct<left:double,top:double,right:double,bottom:double>>>").select(F.explode("v").alias("tag", "g"))
+    band = F.struct(*[F.col(f"g.band_override.{name}").alias(name[0]) for name in ("left", "top", "right", "bottom")])
+    return rows.where("g.band_override IS NOT NULL").select("tag", band.alias("band"))
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(teacher_code, block, class_period, month) of a block file; block names get two digits."""
     v = _parsed(spark, path, "struct<teacher_code:string,blocks:map<string,struct<class_period:int,month:int>>>")
@@ -68,14 +100,27 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("tag", "e.sid", "e.path")
 
 
+_QUEUE = "struct<packet_tag:string,sid:string,worksheet_type:string,reason:string,pdf_path:string,flagged_regions:map<string,array<array<double>>>>"
+
+
 def read_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """The manual queue: one JSON file per packet, in the order of their names."""
-    if not exists(spark, folder):
-        return spark.range(0).select(*[F.lit("").alias(c) for c in ("tag", "sid", "worksheet_type", "reason", "pdf_path")])
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), "value")
-    schema = "struct<packet_tag:string,sid:string,worksheet_type:string,reason:string,pdf_path:string,flagged_regions:map<string,array<array<double>>>>"
-    rows = files.select("file", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v"))
-    return rows.orderBy("file").select(F.col("v.packet_tag").alias("tag"), "v.sid", "v.worksheet_type", "v.reason", "v.pdf_path")
+    """(tag, sid, worksheet_type, reason, pdf_path, flagged_regions): the manual queue, one JSON document per packet.
+
+    ``flagged_regions`` maps a page's place in its packet to boxes (left, top, right, bottom); null where nothing was flagged.
+    """
+    found = _current(spark, folder)
+    if found is None:
+        rows = spark.range(0).select(F.from_json(F.lit("null"), _QUEUE).alias("v"))
+    else:
+        files = spark.read.text(found, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}")
+        rows = files.select(F.from_json("value", _QUEUE, {"mode": "FAILFAST"}).alias("v"))
+    return rows.select(F.col("v.packet_tag").alias("tag"), "v.sid", "v.worksheet_type", "v.reason", "v.pdf_path", "v.flagged_regions")
+
+
+def flagged_boxes(queue: DataFrame) -> DataFrame:
+    """(tag, offset, box) of the flagged regions of a queue."""
+    rows = queue.select("tag", F.explode("flagged_regions").alias("offset", "boxes")).select("tag", F.col("offset").cast("int").alias("offset"), F.explode("boxes").alias("b"))
+    return rows.select("tag", "offset", F.struct(*[F.get("b", k).alias(name) for k, name in enumerate("ltrb")]).alias("box"))
 
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +129,7 @@ def read_provenance(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(spark: SparkSession, one: DataFrame, path: str) -> None:
-    one.coalesce(1).write.mode("overwrite").text(path)
+    replace_folder(spark, path, lambda fresh: one.coalesce(1).write.text(fresh))
 
 
 def _as_map(rows: DataFrame, key: str, value: Column) -> DataFrame:
@@ -116,8 +161,8 @@ def write_page_order(spark: SparkSession, sequence: list[int] | None, path: str)
     _write(spark, spark.range(1).select(F.to_json(F.struct(F.array(*map(F.lit, sequence)).alias("sequence")))), path)
 
 
-def write_geometry(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """From (tag, offset, boxes)."""
+def write_geometry(spark: SparkSession, rows: DataFrame, path: str, bands: DataFrame | None = None) -> None:
+    """From boxes (tag, offset, boxes) and, where there are any, drawn borders (tag, band)."""
     flat = F.transform("boxes", lambda b: F.array(b["l"], b["t"], b["r"], b["b"]))
     rows = rows.withColumn("flat", flat)
     entry = F.struct(F.col("offset").cast("string").alias("k"), F.col("flat").alias("v"))
@@ -125,7 +170,12 @@ def write_geometry(spark: SparkSession, rows: DataFrame, path: str) -> None:
         F.first(F.when(F.col("offset") == 0, F.col("flat")), ignorenulls=True).alias("header_bbox_override"),
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("offset") > 0, entry)))).alias("extra_page_regions"),
     )
-    _write(spark, _as_map(per_tag, "tag", F.struct("header_bbox_override", "extra_page_regions")), path)
+    if bands is None:
+        per_tag = per_tag.withColumn("band_override", F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>"))
+    else:
+        drawn = bands.select("tag", F.struct(*[F.col(f"band.{name[0]}").alias(name) for name in ("left", "top", "right", "bottom")]).alias("band_override"))
+        per_tag = per_tag.join(drawn, "tag", "full")
+    _write(spark, _as_map(per_tag, "tag", F.struct("band_override", "header_bbox_override", "extra_page_regions")), path)
 
 
 def write_ledger(spark: SparkSession, rows: DataFrame, path: str, before: DataFrame | None = None) -> bool:
@@ -136,10 +186,12 @@ def write_ledger(spark: SparkSession, rows: DataFrame, path: str, before: DataFr
     return True
 
 
-def write_queue(rows: DataFrame, folder: str) -> None:
-    """One JSON line per packet, in a folder per packet."""
-    line = F.to_json(F.struct(F.col("tag").alias("packet_tag"), "sid", "worksheet_type", "reason"), {"ignoreNullFields": "false"})
-    rows.select("tag", line.alias("value")).write.mode("overwrite").partitionBy("tag").text(folder)
+def write_queue(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    """Replaces the queue: one JSON document per packet, in a folder per packet, which :func:`read_queue` reads back."""
+    optional = {"pdf_path": "string", "flagged_regions": "map<string,array<array<double>>>"}
+    more = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
+    line = F.to_json(F.struct(F.col("tag").alias("packet_tag"), "sid", "worksheet_type", "reason", *more), {"ignoreNullFields": "false"})
+    replace_folder(spark, folder, lambda fresh: rows.select("tag", line.alias("value")).write.partitionBy("tag").text(fresh))
 
 
 def write_provenance(spark: SparkSession, block: str, class_period: int, month: int | None, path: str) -> None:

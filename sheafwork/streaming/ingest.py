@@ -20,9 +20,9 @@ FEATURES = "file_id string, page_idx int, is_header boolean, page_num int, page_
 PACKETS = "file_id string, packet_index int, page_indices array<int>, header_page int, declared_total int, is_orphan boolean, worksheet_type string, issues array<string>"
 
 
-def drop_folder(spark: SparkSession, folder: str, schema: str = FEATURES) -> DataFrame:
-    """New files of a folder as a stream, one file a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def drop_folder(spark: SparkSession, folder: str, schema: str = FEATURES, files: int = 1) -> DataFrame:
+    """New files of a folder as a stream, ``files`` of them a trigger."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 class PacketFold:
@@ -81,7 +81,10 @@ def _segment(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     for p in pages.itertuples():
         num = _int(p.page_num) if p.readable else None
         done += fold.feed(int(p.page_idx), bool(p.is_header), num, _int(p.page_total), None if pd.isna(p.worksheet_type) else p.worksheet_type, bool(p.last_page))
-    state.update((json.dumps(fold.state()),))
+    if bool(pages["last_page"].any()):
+        state.remove()  # the file is complete, nothing of it is kept
+    else:
+        state.update((json.dumps(fold.state()),))
     rows = [(key[0], d["index"], d["pages"], d["header"], d["total"], d["orphan"], d["kind"], d["issues"]) for d in done]
     columns = [c.split()[0] for c in PACKETS.split(", ")]
     yield pd.DataFrame(rows, columns=columns).astype({"header_page": "Int32", "declared_total": "Int32"})
