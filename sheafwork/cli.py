@@ -86,6 +86,7 @@ def _outcomes(spark: SparkSession, args: argparse.Namespace) -> _Run:
     decisions = sidecars.read_decisions(spark, f"{args.decisions}/{stem}.json")
     ledger = sidecars.read_ledger(spark, f"{args.out}/.ledger/{stem}.json").cache()
     made = P.stages(inputs)
+    made.packets, made.grouped = made.packets.cache(), made.grouped.cache()  # several actions follow, and a scan is small
     outcomes, _ = P.run_dispositions(
         inputs,
         decisions,
@@ -97,7 +98,7 @@ def _outcomes(spark: SparkSession, args: argparse.Namespace) -> _Run:
         tags=made.grouped.where(F.col("label") == args.round).select("tag") if args.round else None,
     )
     plan, kept = P.redaction_plan(inputs, made, bands)
-    return _Run(inputs, made, decisions, ledger, outcomes.cache(), plan, kept)
+    return _Run(inputs, made, decisions, ledger, outcomes.cache(), plan.cache(), kept.cache())
 
 
 def cmd_run(spark: SparkSession, args: argparse.Namespace) -> int:

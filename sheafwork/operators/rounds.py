@@ -97,7 +97,7 @@ def resolve_block(dated: DataFrame, blocks: DataFrame, class_period: int) -> Dat
     known = blocks.where(F.col("class_period") == class_period).select(X.zero_filled("block").alias("block"), "month")
     known = known.groupBy("month").agg(F.sort_array(F.collect_list("block")).alias("matching"))
     joined = total.join(voted, "file_id", "left").withColumn("month", F.when(F.col("n_parsed") >= LEAST_DATED, F.col("best.month")))
-    joined = joined.join(F.broadcast(known), "month", "left")
+    joined = joined.join(F.broadcast(known), "month", "left")  # at most twelve rows, one a month
     share = F.when(F.col("month").isNotNull(), F.col("best.n") / F.col("n_parsed"))
     n_matching = F.coalesce(F.size("matching"), F.lit(0))
     reason = (

@@ -17,6 +17,7 @@ from sheafwork.operators import redaction as X
 from sheafwork.operators import segmentation as S
 from sheafwork.plans import pipeline as P
 from sheafwork.sources import documents as D
+from sheafwork.sources import sidecars as J
 
 
 def border(dpi, drop=0.0, top=58.0, bottom=148.0, left=38.0, right=574.0):
@@ -45,6 +46,40 @@ def test_no_border_falls_back():
     assert X.detect_band(blank, 100, 70.0, 115.0, 25.0, True) == (38.0, 70.0, 574.0, 140.0, False)
 
 
+def test_a_page_without_labels_is_hidden_no_less_than_the_layout_says():
+    """A border that is found further inside, or a stray line, must not uncover what the layout's band covers."""
+    for found in ((42, 62, 570, 144), (60, 64, 560, 146), (30, 52, 580, 155)):
+        left, top, right, bottom = found
+        box = X.detect_band(border(72, top=top, bottom=bottom, left=left, right=right), 72, None, None, 24.0, False)
+        assert box[0] <= 38 and box[1] <= 58 and box[2] >= 574 and box[3] >= 148 and box[4]
+        assert box[0] == min(38, left) and box[1] == min(58, top)
+    half = np.full((792, 612), 255, np.uint8)
+    half[50:160, 100] = 0
+    assert X.detect_band(half, 72, None, None, 24.0, False)[:4] == (38.0, 58.0, 574.0, 148.0)
+    labelled = X.detect_band(border(72, top=90, bottom=180, left=42, right=570), 72, 98.0, 140.0, 38.0, True)
+    assert labelled[4] and abs(labelled[0] - 42) <= 1 and abs(labelled[1] - 90) <= 1
+
+
+def test_paths_of_other_packets_are_not_taken(spark):
+    """A packet that is pending again keeps its file; a new one of the same entry gets the next free number, and so on the next run."""
+    natural = "731046/PRT/02/7310460201"
+    rows = [("a", 1, None), ("b", 2, "7310460201"), ("c", 3, "7310460201"), ("d", 4, "7310460201")]
+    packets = spark.createDataFrame([(t, k, "PRT", []) for t, k, _ in rows], f"tag string, ord int, worksheet_type string, issues array<{S.ISSUE}>")
+    decisions = spark.createDataFrame([(t, sid) for t, _, sid in rows if sid], "tag string, sid string")
+    roster = spark.createDataFrame([("7310460201",)], "sid string")
+    ledger = spark.createDataFrame([("a", "7310460201", f"{natural}.pdf"), ("z", "7310460201", f"{natural}_3.pdf"), ("d", "7310460201", f"{natural}_5.pdf")], "tag string, sid string, path string")
+    none = spark.createDataFrame([], "tag string")
+    made = lambda known: O.decide(packets, decisions, roster, known, held_matches=none, undetected=none, leaks=none, detection_overrides=none, composition_overrides=none)
+    first = {r["tag"]: r["path"] for r in made(ledger).collect()}
+    assert first == {"a": None, "d": f"{natural}_2.pdf", "b": f"{natural}_4.pdf", "c": f"{natural}_5.pdf"}
+    after = spark.createDataFrame(O.merge_ledger(ledger, made(ledger)).collect(), ledger.schema)
+    assert after.select("path").distinct().count() == after.count() == 5
+    assert {r["tag"]: r["path"] for r in made(after).collect()} == first
+    queue = spark.createDataFrame([("q", "7310460201", "PRT", "x"), ("b", "7310460201", "PRT", "x")], "tag string, sid string, worksheet_type string, reason string")
+    released = {r["tag"]: r["path"] for r in O.release(queue, roster, none, none, after).collect()}
+    assert released == {"b": f"{natural}_4.pdf", "q": f"{natural}_6.pdf"}
+
+
 def test_bands_plan_and_kept_words(spark):
     grey = border(100)
     raster = spark.createDataFrame([("f", 0, bytearray(grey.tobytes()), *grey.shape, 100.0)], "file_id string, page_idx int, grey binary, n_rows int, n_cols int, dpi double")
@@ -67,10 +102,10 @@ def test_touching_boxes_do_not_overlap(spark):
 
 
 def test_one_letter_off_is_a_fuzzy_finding(spark):
-    words = spark.createDataFrame([("f", 0, "Rivena was here, riverr"), ("g", 0, "nothing")], "file_id string, page_idx int, text string")
-    roster = spark.createDataFrame([("1", "Rivera", "Alex")], "sid string, last_name string, first_name string")
+    words = spark.createDataFrame([("f", 0, "Lindqvest was here, lindqvisr"), ("g", 0, "nothing")], "file_id string, page_idx int, text string")
+    roster = spark.createDataFrame([("1", "Lindqvist", "Torsten")], "sid string, last_name string, first_name string")
     found = {(r["file_id"], r["token"], r["exact"]) for r in L.leak_findings(words, roster).collect()}
-    assert found == {("f", "rivena", False), ("f", "riverr", False)}
+    assert found == {("f", "lindqvest", False), ("f", "lindqvisr", False)}
     assert {r["file_id"]: r["ok"] for r in L.leak_report(words, roster).collect()} == {"f": False, "g": True}
 
 
@@ -89,7 +124,7 @@ def decide(spark, rows, decisions, **more):
     table = lambda tags: spark.createDataFrame([(t,) for t in tags], "tag string")
     ledger = spark.createDataFrame(more.get("ledger", []), "tag string, sid string, path string")
     made = spark.createDataFrame(decisions, "tag string, sid string")
-    roster = spark.createDataFrame([("0204150201",), ("0204150202",)], "sid string")
+    roster = spark.createDataFrame([("7310460201",), ("7310460202",)], "sid string")
     names = ("held_matches", "undetected", "leaks", "detection_overrides", "composition_overrides")
     return O.decide(packets, made, roster, ledger, **{n: table(more.get(n, [])) for n in names}, allow_delete=more.get("allow_delete", True)), ledger
 
@@ -101,17 +136,17 @@ def test_decision_table(spark):
         "k": (hard, "held_back"), "b": (fine, "held_back"), "c": (fine, "written"), "l": (fine, "held_back"), "w": (fine, "written"),
     }
     rows = [(t, k, "T", issues) for k, (t, (issues, _)) in enumerate(tags.items())]
-    sid = "0204150201"
+    sid = "7310460201"
     decisions = [("n", None), ("x", "9999999999")] + [(t, sid) for t in "ijkbclw"]
     found, _ = decide(spark, rows, decisions, held_matches=["q"], composition_overrides=["j", "k"], undetected=["b", "c"], detection_overrides=["c", "l"], leaks=["l"])
     got = {r["tag"]: r for r in found.collect()}
     assert {t: r["outcome"] for t, r in got.items()} == {t: want for t, (_, want) in tags.items()}
-    assert [got[t]["path"] for t in "jcw"] == [f"020415/T/02/{sid}{s}.pdf" for s in ("", "_2", "_3")]
+    assert [got[t]["path"] for t in "jcw"] == [f"731046/T/02/{sid}{s}.pdf" for s in ("", "_2", "_3")]
 
 
 def test_rerun_changes_nothing_and_frees_paths(spark):
     rows = [("a", 0, "T", []), ("b", 1, "T", [])]
-    sid = "0204150201"
+    sid = "7310460201"
     first, ledger = decide(spark, rows, [("a", sid), ("b", sid)])
     after = O.merge_ledger(ledger, first)
     kept = [tuple(r) for r in after.orderBy("tag").select("tag", "sid", "path").collect()]
@@ -119,7 +154,7 @@ def test_rerun_changes_nothing_and_frees_paths(spark):
     assert [tuple(r) for r in O.merge_ledger(before, again).orderBy("tag").select("tag", "sid", "path").collect()] == kept
     assert O.deletions(again).count() == 0
     freed, before = decide(spark, rows, [("a", None), ("b", sid)], ledger=kept)
-    assert [(r["tag"], r["path"]) for r in O.merge_ledger(before, freed).collect()] == [("b", f"020415/T/02/{sid}.pdf")]
+    assert [(r["tag"], r["path"]) for r in O.merge_ledger(before, freed).collect()] == [("b", f"731046/T/02/{sid}.pdf")]
     skipped, _ = decide(spark, rows, [("a", None)], ledger=kept, allow_delete=False)
     assert {r["tag"]: r["outcome"] for r in skipped.collect()} == {"a": "deletion_skipped", "b": "pending"}
 
@@ -141,12 +176,12 @@ def test_orientation(spark):
 def test_preflight_and_published_files(spark, tmp_path):
     word = lambda p, k, t, x, y: ("s", p, k, t, float(x), float(x) + 6 * len(t), float(y), float(y) + 12)
     words = []
-    for p, name in ((0, "Jordan Ames"), (2, "Riley Fox")):
+    for p, name in ((0, "Oskar Brandt"), (2, "Pelle Ungern")):
         words += [word(p, 0, "Name:", 45, 68), *(word(p, 1 + k, n, 150 + 60 * k, 68) for k, n in enumerate(name.split())), word(p, 5, "PRT", 29, 736), word(p, 6, "(01/2024)", 60, 736), word(p, 7, "Page 1 of 2", 513, 747)]
         words += [word(p + 1, 0, "Page 2 of 2", 513, 747), word(p + 1, 1, "Answers", 50, 300)]
     w = spark.createDataFrame(words, "file_id string, page_idx int, word_seq int, text string, x0 double, x1 double, top double, bottom double")
     pages = spark.createDataFrame([("s", k, 612.0, 792.0, True) for k in range(4)], "file_id string, page_idx int, width double, height double, has_text boolean")
-    roster = spark.createDataFrame([(1, "0204150201", "Ames", "Jordan")], "ord int, sid string, last_name string, first_name string")
+    roster = spark.createDataFrame([(1, "7310460201", "Brandt", "Oskar")], "ord int, sid string, last_name string, first_name string")
     bands = spark.createDataFrame([("s", k, (38.0, 58.0, 574.0, 148.0), True) for k in (0, 2)], "file_id string, page_idx int, band struct<l:double,t:double,r:double,b:double>, detected boolean")
     counts = P.preflight_counts(P.preflight(P.Inputs(pages, w, roster), bands=bands)).first()
     assert (counts["n_packets"], counts["n_no_match"], counts["n_auto"], counts["n_clean"], counts["n_needs_editor"]) == (2, 1, 1, 1, 1)
@@ -154,8 +189,8 @@ def test_preflight_and_published_files(spark, tmp_path):
     scan, out, decisions = tmp_path / "s", tmp_path / "out", tmp_path / "decisions"
     pages.write.parquet(f"{scan}/pages"), w.write.parquet(f"{scan}/words"), bands.write.parquet(f"{scan}/bands")
     decisions.mkdir()
-    (decisions / "s.json").write_text(json.dumps({"s_p000": "0204150201", "s_p002": None}))
-    (tmp_path / "r.csv").write_text("SID,Last Name,First Name\n0204150201,Ames,Jordan\n")
+    (decisions / "s.json").write_text(json.dumps({"s_p000": "7310460201", "s_p002": None}))
+    (tmp_path / "r.csv").write_text("SID,Last Name,First Name\n7310460201,Brandt,Oskar\n")
     common = ["--roster", str(tmp_path / "r.csv"), "--out", str(out)]
     scanned = [*common, "--scan", str(scan), "--decisions", str(decisions)]
     assert cli.main(["verify", *common], spark) == 1
@@ -163,7 +198,17 @@ def test_preflight_and_published_files(spark, tmp_path):
     assert cli.main(["run", *scanned], spark) == 0
     assert cli.main(["verify", *common], spark) == 0
     shown = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/words")
-    assert "Jordan" not in {r["text"] for r in shown.collect()} and "Answers" in {r["text"] for r in shown.collect()}
+    assert "Oskar" not in {r["text"] for r in shown.collect()} and "Answers" in {r["text"] for r in shown.collect()}
+
+    n_shown, files = shown.count(), {p.relative_to(out).as_posix() for p in out.rglob("*.pdf")}
+    assert len(files) == 1
+    (page, *_), marks = D.read_pdf((out / next(iter(files))).read_bytes()), (out / next(iter(files))).read_bytes()
+    assert {"SID: 7310460201", "PD: 02"} <= {t for t, *_ in page[2]} and not {"Oskar", "Brandt"} & {t for t, *_ in page[2]} and marks
+    (decisions / "s.json").write_text(json.dumps({"s_p000": None, "s_p002": "7310460201"}))
+    spark.createDataFrame([("s", k, (38.0, 58.0, 574.0, 148.0), False) for k in (0, 2)], bands.schema).write.mode("overwrite").parquet(f"{scan}/bands")
+    assert cli.main(["run", *scanned], spark) == 1 and n_shown > 0
+    assert not list(out.rglob("*.pdf")) and J.read_ledger(spark, f"{out}/.ledger/s.json").count() == 0
+    assert [(r["tag"], r["reason"], r["pdf_path"]) for r in J.read_queue(spark, f"{out}/.manual_queue/s").collect()] == [("s_p002", "border_not_detected", str(scan))]
 
     ops = X.text_operators(w.where("page_idx = 1"), F.lit(792.0)).select(F.lit("t").alias("tag"), F.lit(0).alias("offset"), "word_seq", "operator")
     made = D.publish(ops, spark.createDataFrame([("t", 0, 612.0, 792.0)], "tag string, offset int, width double, height double"), spark.createDataFrame([("t", "a/b.pdf")], "tag string, path string")).first()

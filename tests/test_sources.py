@@ -2,10 +2,12 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import geometry as G
+from sheafwork.operators import dispositions as O
 from sheafwork.sources import documents as D
 from sheafwork.sources import roster as S
 from sheafwork.sources import sidecars as J
@@ -20,11 +22,11 @@ def write(path, text):
 
 
 def test_blocks_periods_and_held_names(spark, tmp_path):
-    path = write(tmp_path / "r.csv", HEAD + "0204150201,Ames,Jordan\n0204150202,Chandra,Priya \n,,\n\n0204150303,Shaw,Casey\n")
-    write(tmp_path / "r_holds.csv", "Last Name,First Name\nFox,Riley\n,\n")
+    path = write(tmp_path / "r.csv", HEAD + "7310460201,Brandt,Oskar\n7310460202,Teschner,Wilma \n,,\n\n7310460303,Lindqvist,Torsten\n")
+    write(tmp_path / "r_holds.csv", "Last Name,First Name\nUngern,Pelle\n,\n")
     entries, held = S.load_full_roster(spark, path)
-    assert [(r["ord"], r["sid"], r["full_name"]) for r in entries.orderBy("ord").collect()] == [(2, "0204150201", "Jordan Ames"), (3, "0204150202", "Priya Chandra"), (5, "0204150303", "Casey Shaw")]
-    assert [r["last_name"] for r in held.collect()] == ["Fox"]
+    assert [(r["ord"], r["sid"], r["full_name"]) for r in entries.orderBy("ord").collect()] == [(2, "7310460201", "Oskar Brandt"), (3, "7310460202", "Wilma Teschner"), (5, "7310460303", "Torsten Lindqvist")]
+    assert [r["last_name"] for r in held.collect()] == ["Ungern"]
     assert S.load_roster(spark, path, period=2)[0].count() == 2 and S.load_roster(spark, path, infer_from="x PD03.pdf")[0].count() == 1
     for bad in ({}, {"period": "9"}):
         with pytest.raises(S.RosterError):
@@ -34,10 +36,10 @@ def test_blocks_periods_and_held_names(spark, tmp_path):
 @pytest.mark.parametrize(
     "rows, code",
     [
-        ("0204150201,Ames,\n", "partly_blank"),
-        ("020415020,Ames,Jordan\n", "malformed_sid"),
-        ("0204150201,Ames,Jordan\n0204150201,Shaw,Casey\n", "duplicate_sid"),
-        ("0204150201,Ames,Jordan\n0204150302,Shaw,Casey\n", "period_mismatch"),
+        ("7310460201,Brandt,\n", "partly_blank"),
+        ("731046020,Brandt,Oskar\n", "malformed_sid"),
+        ("7310460201,Brandt,Oskar\n7310460201,Lindqvist,Torsten\n", "duplicate_sid"),
+        ("7310460201,Brandt,Oskar\n7310460302,Lindqvist,Torsten\n", "period_mismatch"),
     ],
 )
 def test_violations(spark, tmp_path, rows, code):
@@ -46,8 +48,8 @@ def test_violations(spark, tmp_path, rows, code):
 
 
 def test_a_name_on_both_lists_and_missing_columns(spark, tmp_path):
-    path = write(tmp_path / "r.csv", HEAD + "0204150201,Ames,Jordan\n")
-    write(tmp_path / "r_holds.csv", "Last Name,First Name\n AMES,jordan\n")
+    path = write(tmp_path / "r.csv", HEAD + "7310460201,Brandt,Oskar\n")
+    write(tmp_path / "r_holds.csv", "Last Name,First Name\n BRANDT,oskar\n")
     with pytest.raises(S.RosterError, match="held_name"):
         S.load_full_roster(spark, path)
     with pytest.raises(S.RosterError, match="no column"):
@@ -55,9 +57,9 @@ def test_a_name_on_both_lists_and_missing_columns(spark, tmp_path):
 
 
 def test_prepared_roster_is_stable(spark):
-    raw = spark.createDataFrame([(2, "1", "Ames.", "Jordan"), (3, "2", "Shaw", "Casey,"), (4, "2", "Lee", "Morgan"), (5, "", "", "")], "row_num int, sid string, last_name string, first_name string")
+    raw = spark.createDataFrame([(2, "1", "Brandt.", "Oskar"), (3, "2", "Lindqvist", "Torsten,"), (4, "2", "Falkenau", "Niklas"), (5, "", "", "")], "row_num int, sid string, last_name string, first_name string")
     clean, held = S.prepare_roster(raw)
-    assert [tuple(r)[1:] for r in clean.orderBy("row_num").collect()] == [("1", "Ames", "Jordan"), ("", "", "")]
+    assert [tuple(r)[1:] for r in clean.orderBy("row_num").collect()] == [("1", "Brandt", "Oskar"), ("", "", "")]
     again, kept = S.prepare_roster(clean, held)
     assert again.exceptAll(clean).count() == 0 and kept.exceptAll(held).count() == 0 and held.count() == 2
 
@@ -80,6 +82,42 @@ def test_sidecars_round_trip(spark, tmp_path):
     assert J.write_ledger(spark, ledger, path("l")) and not J.write_ledger(spark, ledger, path("l"), J.read_ledger(spark, path("l")).cache())
 
 
+def test_queue_round_trip(spark, tmp_path):
+    rows = spark.sql("SELECT 'a b' AS tag, '1' AS sid, 'T' AS worksheet_type, 'x' AS reason, 'in.pdf' AS pdf_path, map('2', array(array(1D, 2D, 3D, 4D))) AS flagged_regions UNION ALL SELECT 'c', NULL, NULL, 'y', NULL, NULL")
+    folder = str(tmp_path / "queue")
+    assert J.read_queue(spark, folder).count() == 0
+    J.write_queue(spark, rows, folder)
+    shown = lambda q: sorted(map(str, q.collect()))
+    assert shown(J.read_queue(spark, folder)) == shown(rows)
+    assert [(r["tag"], r["offset"], tuple(r["box"])) for r in J.flagged_boxes(J.read_queue(spark, folder)).collect()] == [("a b", 2, (1.0, 2.0, 3.0, 4.0))]
+    J.write_queue(spark, J.read_queue(spark, folder).where("tag = 'c'"), folder)  # from the folder that it replaces
+    assert [r["tag"] for r in J.read_queue(spark, folder).collect()] == ["c"]
+    J.write_queue(spark, rows.select("tag", "sid", "worksheet_type", "reason").where("false"), folder)
+    assert J.read_queue(spark, folder).count() == 0
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    """At each step of replacing a ledger its readers find the old or the new one, and a later writer goes on."""
+    path = str(tmp_path / "l")
+    old, new = (spark.createDataFrame([("a", "1", p)], "tag string, sid string, path string") for p in ("old", "new"))
+    assert J.write_ledger(spark, old, path)
+    with pytest.raises(ZeroDivisionError):
+        J.replace_folder(spark, path, lambda fresh: 1 / 0)
+    assert J.read_ledger(spark, path).first()["path"] == "old"
+    (tmp_path / "l").rename(tmp_path / "l.old")  # it stepped aside, and then the writer died
+    assert J.read_ledger(spark, path).first()["path"] == "old"
+    assert J.write_ledger(spark, O.upsert(J.read_ledger(spark, path), new, ["tag"]), path, J.read_ledger(spark, path))
+    assert J.read_ledger(spark, path).first()["path"] == "new" and not (tmp_path / "l.old").exists()
+
+
+def test_drawn_borders_round_trip(spark, tmp_path):
+    path = str(tmp_path / "g")
+    boxes = spark.sql("SELECT 'a' AS tag, 0 AS offset, array(named_struct('l', 1D, 't', 2D, 'r', 3D, 'b', 4D)) AS boxes")
+    bands = spark.sql("SELECT 'b' AS tag, named_struct('l', 5D, 't', 6D, 'r', 7D, 'b', 8D) AS band")
+    J.write_geometry(spark, boxes, path, bands)
+    assert J.read_geometry(spark, path).collect() == boxes.collect() and J.read_geometry_bands(spark, path).collect() == bands.collect()
+
+
 def test_broken_files_become_rows_and_empty_trees_errors(spark, tmp_path):
     (tmp_path / ".cache").mkdir()
     (tmp_path / ".cache" / "hidden.pdf").write_bytes(b"x")
@@ -107,6 +145,23 @@ def test_streamed_packets_span_batches(spark, tmp_path):
     assert [(r["page_indices"], r["is_orphan"]) for r in found] == [([0, 1], False), ([2], True), ([3], False)]
 
 
+def test_finished_files_leave_no_state():
+    class State:
+        exists, get, kept = False, None, "unset"
+
+        def update(self, value):
+            self.kept = value
+
+        def remove(self):
+            self.kept = None
+
+    pages = pd.DataFrame([("f", 0, True, 1, 2, True, "T", False), ("f", 1, False, 2, 2, True, None, True)], columns=[c.split()[0] for c in T.FEATURES.split(", ")])
+    for part, kept in ((pages.iloc[:1], True), (pages, False)):
+        state = State()
+        list(T._segment(("f",), iter([part]), state))
+        assert (state.kept is not None) == kept
+
+
 def test_widths_and_scale(spark):
     one = spark.range(1).select(G.advance_width(F.lit("Ab"), F.lit(10.0), G.helvetica_widths()).alias("w"), G.horizontal_scale(F.lit(1000.0), F.lit(1.0)).alias("s"), G.editor_dpi(F.lit(612.0)).alias("d"))
     assert tuple(one.first()) == (12.23, 20.0, 82)
