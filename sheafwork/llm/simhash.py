@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import prepare, rows_of, shared_folder, texts_of
+from sheafwork.llm.common import prepare, rows_of, texts_of
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -358,23 +358,16 @@ def first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A row is known by its doc_id and that digest, so rows that repeat a doc_id with different texts are told apart, and so are rows
     without an id. Of rows alike in doc_id and text any one stays.
 
-    The choice is made on ids and digests alone, in tables in the shared folder. Texts stay where they are as long as the rows to drop
-    are few enough to be broadcast, by their size on disk and Spark's threshold; else they are moved once. Only rows alike in doc_id
-    and text that stay are grouped with their texts.
+    Survivors are chosen on ids and digests alone. Texts move once, rows alike in doc_id and text are reduced to one before they do, and
+    the join with the survivors uses the same distribution.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    fps = texts_of(docs, id_col, text_col).mapInArrow(_row_fingerprints, "doc_id long, fp long, digest string").checkpoint()
+    prepare(docs.sparkSession)
+    fps = texts_of(docs, id_col, text_col).mapInArrow(_row_fingerprints, "doc_id long, fp long, digest string")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
     labelled = _labelled(fps.groupBy("fp").agg(least.alias("least")), radius)
+    first = labelled.groupBy("label").agg(F.min("least").alias("least"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    first = labelled.groupBy("label").agg(F.min("least").alias("least")).select("least.*").select(key, "digest", F.lit(True).alias("stays"))
-    alike = fps.groupBy(key, "digest").agg(F.count("*").alias("n")).join(first, ["key", "digest"], "left").where("stays IS NULL OR n > 1")
-    folder = shared_folder(spark, "dropped")
-    alike.select("key", "digest", F.col("stays").isNotNull().alias("stays")).write.parquet(folder)
-    dropped = spark.read.schema("key string, digest string, stays boolean").parquet(folder)
+    first = first.select("least.*").select(key, "digest")
     whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = whole.select("doc", key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    repeated = rows.join(dropped.where("stays").select("key", "digest"), ["key", "digest"], "left_semi")
-    one = repeated.groupBy("key", "digest").agg(F.first("doc").alias("doc"))
-    return rows.join(dropped, ["key", "digest"], "left_anti").select("doc").unionByName(one.select("doc")).select("doc.*")
+    return rows.groupBy("key", "digest").agg(F.first("doc").alias("doc")).join(first, ["key", "digest"], "left_semi").select("doc.*")
