@@ -92,7 +92,8 @@ def rotate(grey: np.ndarray, angle: int) -> np.ndarray:
 def estimate_skew(grey: np.ndarray, dark_below: int = 128, step: float = 0.25) -> float | None:
     """The angle in degrees at which rows of ink are sharpest, within MOST_LINE_ANGLE; None for a page without ink.
 
-    Dark points are projected along each angle; text lines and rules that lie along it make the projection's variance largest.
+    Dark points are projected along each angle; text lines and rules that lie along it make the projection's variance largest. Of equally
+    sharp angles, which a narrow raster has, the least is taken.
     """
     y, x = np.nonzero(grey < dark_below)
     if len(y) < 50:
@@ -102,7 +103,8 @@ def estimate_skew(grey: np.ndarray, dark_below: int = 128, step: float = 0.25) -
     for a in np.deg2rad(angles):
         place = np.round(y * np.cos(a) - x * np.sin(a)).astype(np.int64)
         best.append(np.bincount(place - place.min()).astype(float).var())
-    return float(angles[int(np.argmax(best))])
+    sharpest = angles[np.asarray(best) == max(best)]
+    return float(sharpest[np.argmin(np.abs(sharpest))])
 
 
 Classifier = Callable[[np.ndarray], tuple[int, float]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,17 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.join("sheafwork", os.path.relpath(full, root)))
     context.addPyFile(path)
     context._sheafwork_shipped = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new, unused path below ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where that is unset, a temporary folder is taken under a local master; a cluster raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sheafwork-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
