@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import fuzzy as Z
+from sheafwork.operators import leak as L
 from sheafwork.operators import match as M
 
 #: Names made of syllables, so that no two are alike.
@@ -132,3 +133,20 @@ def test_leak_findings_of_documents_equal_brute_force(spark, small):
     assert sorted(found) == sorted(want) and len({x[3] for x in want}) == 2
     report = {r["file_id"]: (r["n_findings"], r["n_exact"]) for r in QUERIES["leak_report_documents"](spark, small).where(F.col("file_id").isin(list(docs))).collect()}
     assert report == {d: (sum(x[0] == d for x in want), sum(x[0] == d and x[3] for x in want)) for d in docs}
+
+
+def test_fuzzy_pairs_equal_brute_force(spark):
+    """Words of few letters, so that many are alike: edited copies, long repeats, lengths on both sides of where the keys change."""
+    rng = random.Random(5)
+    tokens, names = set(), {"a" * 36, "a" * 34 + "b" * 9}
+    for k in range(600):
+        word = "".join(rng.choice("abcdee'z") for _ in range(rng.choice([5, 6, 7, 8, 9, 12, 20, 24, 26, 31])))
+        other = list(word)
+        for _ in range(rng.randrange(4)):
+            other[rng.randrange(len(other))] = rng.choice("abcdexyz")
+        tokens.add(word)
+        names.add("".join(other[1:] if k % 2 and len(other) > 6 else other))
+    tokens |= {"a" * 40, "a" * 33 + "b" * 8}
+    want = sorted((x, y) for x in tokens for y in names if Z.py_ratio(x, y) >= L.LEAST_RATIO)
+    as_table = lambda words, name: spark.createDataFrame([(w,) for w in sorted(words)], f"{name} string")
+    assert sorted(map(tuple, L.fuzzy_pairs(as_table(tokens, "token"), as_table(names, "name")).collect())) == want and len(want) > 300
