@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from sheafwork.session import ship_package
 
 WORD = "struct<text:string,x0:double,x1:double,top:double,bottom:double>"
 _PAGES = f"file_id string, path string, content_sha string, page_idx int, width double, height double, has_text boolean, words array<{WORD}>, error string"
+#: Words and pages from which decoded pages are handed on.
+BATCH_WORDS = 16_384
+BATCH_PAGES = 2_048
 
 #: A decoder maps a file's bytes to pages: (width, height, [(text, x0, x1, top, bottom), ...]).
 Decoder = Callable[[bytes], list[tuple[float, float, list[tuple[str, float, float, float, float]]]]]
@@ -44,34 +48,63 @@ def content_hash(content: str):
     return F.sha2(F.col(content), 256)
 
 
+def decoded_batches(batches: Iterator[pa.RecordBatch], decode: Decoder, repair: Callable[[bytes], bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`decode_pages` for batches of (file_id, path, content_sha, content), handed on as soon as BATCH_WORDS or BATCH_PAGES are there."""
+    word = pa.struct([("text", pa.string()), *[(c, pa.float64()) for c in ("x0", "x1", "top", "bottom")]])
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(word), pa.string()]
+    names = [c.split()[0] for c in _PAGES.split(", ")]
+    rows: list[tuple] = []
+    ends, words = [0], tuple([] for _ in word)
+
+    def put(row: tuple, found: list, error: str) -> None:
+        for column, values in zip(words, zip(*found, strict=True), strict=False):
+            column.extend(values)
+        ends.append(len(words[0]))
+        rows.append((*row, bool(found), error))
+
+    def taken() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(words, word, strict=True)], fields=list(word)))
+        arrays = [pa.array(v, t) for v, t in zip((*columns[:7], columns[7]), (*types[:7], types[8]), strict=True)]
+        rows.clear()
+        ends[1:] = []
+        for column in words:
+            column.clear()
+        return pa.RecordBatch.from_arrays([*arrays[:7], lists, arrays[7]], names=names)
+
+    for batch in batches:
+        files, contents = [batch.column(k).to_pylist() for k in range(3)], batch.column(3)
+        for k, (file_id, path, sha) in enumerate(zip(*files, strict=True)):
+            error, pages = "", []
+            try:
+                content = contents[k].as_py()
+                pages = decode(content)
+                if not pages and repair is not None:
+                    pages = decode(repair(content))
+            except Exception as e:  # a broken file must not end the job
+                error = f"{type(e).__name__}: {e}"
+            if not pages:
+                put((file_id, path, sha, None, None, None), [], error or "no pages")
+            for place, (width, height, found) in enumerate(pages):
+                put((file_id, path, sha, place, width, height), found, "")
+                if len(words[0]) >= BATCH_WORDS or len(rows) >= BATCH_PAGES:
+                    yield taken()
+    if rows:
+        yield taken()
+
+
 def decode_pages(files: DataFrame, make_decoder: Callable[[], Decoder], repair: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """One row per page with its words; a file that cannot be read gives one row with page_idx null and the error, never none.
 
-    A decoder that finds no page is given the repaired bytes, if there is a way to repair them.
+    A decoder that finds no page is given the repaired bytes, if there is a way to repair them. A worker holds the words of one file and
+    of one batch of pages, however many files its batches of contents have.
     """
     ship_package(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = make_decoder()
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                error, pages = "", []
-                try:
-                    pages = decode(r.content)
-                    if not pages and repair is not None:
-                        pages = decode(repair(r.content))
-                except Exception as e:  # a broken file must not end the job
-                    error = f"{type(e).__name__}: {e}"
-                if not pages:
-                    out.append((r.file_id, r.path, r.content_sha, None, None, None, False, [], error or "no pages"))
-                for k, (width, height, words) in enumerate(pages):
-                    rows = [dict(zip(("text", "x0", "x1", "top", "bottom"), w, strict=True)) for w in words]
-                    out.append((r.file_id, r.path, r.content_sha, k, width, height, bool(rows), rows, ""))
-            columns = [c.split()[0] for c in _PAGES.split(", ")]
-            yield pd.DataFrame(out, columns=columns).astype({"page_idx": "Int32"})
-
-    return files.select("file_id", "path", "content_sha", "content").mapInPandas(run, _PAGES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded_batches(batches, make_decoder(), repair)
+
+    return files.select("file_id", "path", "content_sha", F.col("content").cast("binary").alias("content")).mapInArrow(run, _PAGES)
 
 
 def words_of(pages: DataFrame) -> DataFrame:

@@ -129,6 +129,25 @@ def test_broken_files_become_rows_and_empty_trees_errors(spark, tmp_path):
         D.scan_files(spark, str(tmp_path), glob="*.tif", must_exist=True)
 
 
+def test_decoded_pages_leave_a_worker_in_small_batches():
+    """A batch of many files is not held as words: pages are handed on while later files are still bytes."""
+    import pyarrow as pa
+
+    seen = []
+
+    def decode(data):
+        seen.append(data)
+        return [(1.0, 2.0, [(f"w{k}", k, k + 1.0, 0.0, 1.0) for k in range(3000)])] * 2
+
+    files = pa.RecordBatch.from_pydict({"file_id": [f"f{k}" for k in range(40)], "path": [""] * 40, "content_sha": [""] * 40, "content": [b"x"] * 40})
+    stream = D.decoded_batches(iter([files]), decode)
+    first = next(stream)
+    assert len(seen) < 5 and first.num_rows == 6
+    rows = [r for batch in (first, *stream) for r in batch.to_pylist()]
+    assert [(r["file_id"], r["page_idx"], len(r["words"])) for r in rows] == [(f"f{k}", j, 3000) for k in range(40) for j in (0, 1)]
+    assert rows[79]["words"][7] == {"text": "w7", "x0": 7.0, "x1": 8.0, "top": 0.0, "bottom": 1.0}
+
+
 def test_words_from_recognition(spark):
     rows = spark.createDataFrame([("f", 0, 144.0, 10.0, 700.0, [" Page ", "--", "x1"], [[0.0, 0.0, 20.0, 10.0], [1.0, 1.0, 2.0, 2.0], [2.0, 2.0, 4.0, 8.0]])], "file_id string, page_idx int, dpi double, left double, top double, texts array<string>, boxes array<array<double>>")
     assert [(r["text"], r["x0"], r["x1"], r["top"], r["bottom"]) for r in D.words_from_recognition(rows).orderBy("word_seq").collect()] == [("Page", 10.0, 20.0, 700.0, 705.0), ("x1", 11.0, 12.0, 701.0, 704.0)]
