@@ -26,6 +26,8 @@ _PAGES = f"file_id string, path string, content_sha string, page_idx int, width
 #: Words and pages from which decoded pages are handed on.
 BATCH_WORDS = 16_384
 BATCH_PAGES = 2_048
+#: Bytes of written files from which they are handed on.
+BATCH_BYTES = 8 << 20
 
 #: A decoder maps a file's bytes to pages: (width, height, [(text, x0, x1, top, bottom), ...]).
 Decoder = Callable[[bytes], list[tuple[float, float, list[tuple[str, float, float, float, float]]]]]
@@ -241,11 +243,42 @@ def publish(operators: DataFrame, pages: DataFrame, paths: DataFrame) -> DataFra
     texts = operators.groupBy("tag", "offset").agg(F.sort_array(F.collect_list(F.struct("word_seq", "operator"))).alias("ops"))
     rows = pages.select("tag", "offset", "width", "height", *raster).join(texts, ["tag", "offset"], "left").join(paths.select("tag", "path"), "tag")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for r in group.sort_values("offset").itertuples():
-            grey = None if r.grey is None else np.frombuffer(r.grey, np.uint8).reshape(int(r.n_rows), int(r.n_cols))
-            made.append((r.width, r.height, grey, [o["operator"] for o in r.ops] if r.ops is not None else []))
-        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [write_pdf(made)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return published_batches(batches)
+
+    placed = rows.select("path", "offset", "width", "height", "grey", "n_rows", "n_cols", F.col("ops.operator").alias("ops"))
+    return placed.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, "path string, content binary")
+
+
+def published_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) from pages (path, offset, width, height, grey, n_rows, n_cols, ops) in the order of paths and offsets.
+
+    A packet may span batches; a worker holds one packet's pages and the files of one batch.
+    """
+    path, pages, paths, files, held = None, [], [], [], 0
 
-    return rows.groupBy("path").applyInPandas(one, "path string, content binary")
+    def taken() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+        paths.clear()
+        files.clear()
+        return out
+
+    for batch in batches:
+        greys = batch.column(4)
+        texts, _, widths, heights, n_rows, n_cols, ops = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6, 7))
+        for k, this in enumerate(texts):
+            if pages and this != path:
+                paths.append(path)
+                files.append(write_pdf(pages))
+                pages, held = [], held + len(files[-1])
+                if held >= BATCH_BYTES or len(files) >= BATCH_PAGES:
+                    yield taken()
+                    held = 0
+            path = this
+            grey = np.frombuffer(greys[k].as_py(), np.uint8).reshape(n_rows[k], n_cols[k]) if greys[k].is_valid else None
+            pages.append((widths[k], heights[k], grey, ops[k] or []))
+    if pages:
+        paths.append(path)
+        files.append(write_pdf(pages))
+    if paths:
+        yield taken()
