@@ -42,7 +42,7 @@ def _native(p: DataFrame, r: DataFrame, h: DataFrame) -> DataFrame:
 
 @query(_SCORES + "SELECT tag, sid, round(score, 9) AS score, rank::INT AS rank FROM k WHERE NOT held AND rank <= 5", **_INPUTS)
 def propose_top_candidates(p: DataFrame, r: DataFrame, h: DataFrame) -> DataFrame:
-    return M.top_candidates(M.score_pairs(p, r, Z.native_name_score, _CLASS)).select("tag", "sid", F.round("score", 9).alias("score"), "rank")
+    return M.best_candidates(p, r, Z.native_name_score, _CLASS).select("tag", "sid", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_SCORES + "SELECT tag, top_sid, round(top_score, 9) AS top_score, round(margin, 9) AS margin, held_name, round(held_score, 9) AS held_score, is_held_match FROM b", **_INPUTS)

@@ -89,6 +89,39 @@ def test_native_scorers_equal_python(spark):
         assert abs(r["t"] - Z.py_token_sort(r["a"], r["b"])) < 1e-9
 
 
+def test_grids_equal_the_rules_to_the_last_bit():
+    """Shared, repeated, missing and long words, lengths far apart."""
+    from sheafwork.functions import grids
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 5, 8, 40])))
+    text = lambda: " ".join(word() for _ in range(rng.choice([1, 2, 2, 3])))
+    for _ in range(10):
+        names = [*((text(), text()) for _ in range(9)), ("", word()), ("", ""), ("ab", "ab")]
+        forms = [[*{Z.py_normalize(x) for x in (f"{a} {b}", f"{b} {a}", a, b)} - {""}] for a, b in names]
+        plain, weighted = grids.plain_grid(forms), grids.weighted_grid(forms)
+        for probe in [text(), text(), names[0][0], " ".join(names[1]), "ab"]:
+            assert weighted(probe).tolist() == [Z.py_score(probe, *n) for n in names]
+            assert plain(probe).tolist() == [max([max(Z.py_ratio(probe, v), Z.py_token_sort(probe, v)) for v in f], default=0) for f in forms]
+
+
+@pytest.mark.parametrize("scorer", [Z.native_name_score, Z.name_score])
+@pytest.mark.parametrize("by", [None, ["file_id"]])
+def test_best_candidates_equal_all_pairs_in_small_blocks(spark, monkeypatch, scorer, by):
+    """Texts and entries over several blocks, equal names and texts, more classes than one; a repeated packet text is not paired again."""
+    monkeypatch.setattr(M, "BLOCK_TEXTS", 4)
+    monkeypatch.setattr(M, "BLOCK_ENTRIES", 5)
+    rng = random.Random(3)
+    names = [garbled(rng, rng.choice(ROSTER)) for _ in range(40)] * 2
+    entries = roster(spark, [*ROSTER, *ROSTER[:4], "Oska Brand"]).withColumn("file_id", F.when(F.col("ord") % 3 > 0, "f").otherwise("g"))
+    entries = entries if by else entries.drop("file_id")
+    packets = probes(spark, names).withColumn("file_id", F.when(F.col("ord") % 2 == 0, "f").otherwise("g"))
+    rows = lambda frame: sorted((r["tag"], r["rank"], r["sid"], r["score"]) for r in frame.collect())
+    found = M.best_candidates(packets, entries, scorer, by)
+    assert rows(found) == rows(M.top_candidates(M.score_pairs(packets, entries, scorer, by)))
+    assert rows(M.best_candidates(packets, entries, lambda *a: scorer(*a), by)) == rows(found)
+
+
 def test_duplicate_decisions(spark):
     decisions = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", None)], "tag string, sid string")
     labels = spark.createDataFrame([("a", "x"), ("b", "x")], "tag string, label string")
