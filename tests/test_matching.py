@@ -105,6 +105,37 @@ def test_grids_equal_the_rules_to_the_last_bit():
             assert plain(probe).tolist() == [max([max(Z.py_ratio(probe, v), Z.py_token_sort(probe, v)) for v in f], default=0) for f in forms]
 
 
+def test_best_names_of_a_grid_equal_all_its_scores_but_compare_few_pairs(monkeypatch):
+    """Equal, empty, long and repeated names; odd texts; ties go to the earlier name. Of like names most cannot be among the best."""
+    from sheafwork.functions import grids
+
+    rng = random.Random(17)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 4, 5, 8])))
+    forms_of = lambda names: [[x for x in dict.fromkeys(map(Z.py_normalize, (f"{a} {b}", f"{b} {a}", b, a))) if x] for a, b in names]
+    for n in (1, 4, 30):
+        names = [(word("abcé"), word("abcdefg")) for _ in range(n)] + [("", word("abc")), ("", ""), ("ab", "ab"), ("", ""), ("x" * 70, "b")]
+        names += names[:3]
+        texts = [*dict.fromkeys([*(f"{word('abc')} {word('abcdé')}" for _ in range(6)), *(" ".join(x).strip() for x in names[:3]), word("abc"), "ab", "", "zz yy", "ab ab", "q" * 65, " ab\tcd"])]
+        for grid in (grids.plain_grid(forms_of(names)), grids.weighted_grid(forms_of(names))):
+            for k in (1, 2, 5, len(names) + 2):
+                got = {t: [] for t in range(len(texts))}
+                for t, row, score in zip(*grid.best(texts, k), strict=True):
+                    got[t].append((row, score))
+                for t, text in enumerate(texts):
+                    scores = grid(text)
+                    assert got[t] == sorted(enumerate(scores), key=lambda x: (-x[1], x[0]))[:k]
+
+    pairs, ratios = [], grids._pair_ratios
+    monkeypatch.setattr(grids, "_pair_ratios", lambda *a: pairs.append(len(a[-1])) or ratios(*a))
+    names = [("".join(rng.choice("aeioubcdfg") for _ in range(5)), "".join(rng.choice("rstlnmaeio") for _ in range(6))) for _ in range(1500)]
+    texts = [f"{a[:2]}{a[3:]} {b}" for a, b in names[:100]]
+    for make in (grids.plain_grid, grids.weighted_grid):
+        pairs.clear()
+        of, rows, _ = make(forms_of(names)).best(texts, 2)
+        assert rows[::2].tolist() == list(range(100)) and of.tolist() == [t for t in range(100) for _ in range(2)]
+        assert sum(pairs) < 0.2 * 2 * 4 * len(texts) * len(names)
+
+
 @pytest.mark.parametrize("scorer", [Z.native_name_score, Z.name_score])
 @pytest.mark.parametrize("by", [None, ["file_id"]])
 def test_best_candidates_equal_all_pairs_in_small_blocks(spark, monkeypatch, scorer, by):
