@@ -11,24 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.session import ship_package
-
-#: Rows and bytes of an Arrow batch. Spark's defaults (10,000 rows, no bound of bytes) are too much for a worker with long documents.
-BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+from sheafwork.session import bound_batches, ship_package
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends the package to the executors, bounds Arrow batches and makes sure that checkpoints have a shared folder.
-
-    The bounds are settings of the session. They only ever become smaller, and they stay set, as the plans that need them run later.
-    A batch holds at least one row, so one text of any length passes.
-    """
+    """Sends the package to the executors, bounds Arrow batches and makes sure that checkpoints have a shared folder."""
     ship_package(spark)
-    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()
-        if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= bound:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
+    bound_batches(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions import geometry as G
-from sheafwork.session import ship_package
+from sheafwork.session import bound_batches, ship_package
 
 #: The least score of a trusted detection, the largest tolerated skew in degrees.
 LEAST_SCORE = 0.6
@@ -113,6 +113,7 @@ Classifier = Callable[[np.ndarray], tuple[int, float]]
 def detect(rasters: DataFrame, make_classifier: Callable[[], Classifier]) -> DataFrame:
     """Detections of ``rasters(file_id, page_idx, grey, n_rows, n_cols)``; the classifier is made once a worker batch stream."""
     ship_package(rasters.sparkSession)
+    bound_batches(rasters.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify = make_classifier()

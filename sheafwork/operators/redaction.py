@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import geometry as G
 from sheafwork.operators import segmentation as S
-from sheafwork.session import ship_package
+from sheafwork.session import bound_batches, join_heavy, ship_package
 
 # Fixed values of border detection: grey values below this are ink; the share of a line that must be ink; search margins in points.
 DARK_BELOW = 128
@@ -108,7 +108,9 @@ def detect_band(grey: np.ndarray, dpi: float, name_top: float | None, group_top:
 def detect_bands(rasters: DataFrame, anchors: DataFrame) -> DataFrame:
     """(file_id, page_idx, band, detected) from ``rasters(file_id, page_idx, grey, n_rows, n_cols, dpi)`` of header pages."""
     ship_package(rasters.sparkSession)
-    rows = rasters.join(anchors.select("file_id", "page_idx", "name_top", "group_top", "row_height", (F.col("name_found") | F.col("teacher_found") | F.col("group_found")).alias("anchored")), ["file_id", "page_idx"], "left")
+    bound_batches(rasters.sparkSession)
+    found = anchors.select("file_id", "page_idx", "name_top", "group_top", "row_height", (F.col("name_found") | F.col("teacher_found") | F.col("group_found")).alias("anchored"))
+    rows = join_heavy(rasters, found, ["file_id", "page_idx"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,7 +222,9 @@ def draw_boxes(grey: np.ndarray, boxes: list[tuple[float, float, float, float]],
 def redacted_rasters(rasters: DataFrame, plan: DataFrame) -> DataFrame:
     """(file_id, page_idx, grey, n_rows, n_cols) with the boxes of ``plan(file_id, page_idx, boxes)`` drawn; other pages as they are."""
     ship_package(rasters.sparkSession)
-    rows = rasters.select("file_id", "page_idx", "grey", "n_rows", "n_cols", "dpi").join(plan.select("file_id", "page_idx", "boxes"), ["file_id", "page_idx"], "left")
+    bound_batches(rasters.sparkSession)
+    pages = rasters.select("file_id", "page_idx", "grey", "n_rows", "n_cols", "dpi")
+    rows = join_heavy(pages, plan.select("file_id", "page_idx", "boxes"), ["file_id", "page_idx"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,7 +247,9 @@ def ink_share(grey: np.ndarray, box: tuple[float, float, float, float], dpi: flo
 def ink_in_regions(rasters: DataFrame, regions: DataFrame) -> DataFrame:
     """(file_id, page_idx, box, share, has_ink) for ``regions(file_id, page_idx, box)``."""
     ship_package(rasters.sparkSession)
-    rows = rasters.join(regions.groupBy("file_id", "page_idx").agg(F.collect_list("box").alias("boxes")), ["file_id", "page_idx"])
+    bound_batches(rasters.sparkSession)
+    pages = rasters.select("file_id", "page_idx", "grey", "n_rows", "n_cols", "dpi")
+    rows = join_heavy(pages, regions.groupBy("file_id", "page_idx").agg(F.collect_list("box").alias("boxes")), ["file_id", "page_idx"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

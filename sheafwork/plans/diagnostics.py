@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import geometry as G
 from sheafwork.operators import redaction as R
-from sheafwork.session import ship_package
+from sheafwork.session import join_heavy, ship_package
 from sheafwork.sources.png import grey_png, outlined, shrunk
 
 # The printed title's first word, the name region above it in points, and where the title stands if it is not found.
@@ -27,7 +27,7 @@ def contact_sheets(rasters: DataFrame, reasons: DataFrame, thumb_width: int = 36
     ``rasters(file_id, page_idx, grey, n_rows, n_cols)``, ``reasons(file_id, page_idx, reasons)``. The labels also stand in the image's text chunk.
     """
     ship_package(rasters.sparkSession)
-    rows = rasters.join(reasons, ["file_id", "page_idx"]).select("file_id", "page_idx", "grey", "n_rows", "n_cols", F.array_join("reasons", "; ").alias("label"))
+    rows = join_heavy(rasters, reasons, ["file_id", "page_idx"]).select("file_id", "page_idx", "grey", "n_rows", "n_cols", F.array_join("reasons", "; ").alias("label"))
 
     def sheet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page_idx")

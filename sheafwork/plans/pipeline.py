@@ -13,6 +13,7 @@ from sheafwork.operators import dispositions as O
 from sheafwork.operators import leak, match, redaction, rounds
 from sheafwork.operators import orientation as R
 from sheafwork.operators import segmentation as S
+from sheafwork.session import join_heavy
 from sheafwork.sources import documents
 
 
@@ -216,7 +217,7 @@ def published_files(inputs: Inputs, made: Stages, plan: DataFrame, kept: DataFra
     operators = texts.join(places.select("file_id", "page_idx", "tag", "offset"), ["file_id", "page_idx"]).select("tag", "offset", "word_seq", "operator")
     shown = pages.select("file_id", "page_idx", "tag", "offset", "width", "height")
     if inputs.rasters is not None:
-        shown = shown.join(redaction.redacted_rasters(inputs.rasters, boxes), ["file_id", "page_idx"], "left")
+        shown = join_heavy(shown, redaction.redacted_rasters(inputs.rasters, boxes), ["file_id", "page_idx"], "left")
     return documents.publish(operators, shown.drop("file_id", "page_idx"), written.select("tag", "path"))
 
 

@@ -7,7 +7,11 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of an Arrow batch. Spark's defaults (10,000 rows, no tight bound of bytes) are too much for a worker with long documents or rasters.
+BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -27,6 +31,22 @@ def ship_package(spark: SparkSession) -> None:
     context._sheafwork_shipped = True
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches. The bounds are settings of the session; they only ever become smaller, and stay set for the plans that need them.
+
+    A batch holds at least one row, so one text or raster of any length passes.
+    """
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()
+        if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= bound:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of which a side holds rasters. Spark takes a binary for 100 bytes and would broadcast them all; here rows are merged, which spills."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new, unused path below ``spark.checkpoint.dir``, which the driver and all executors share.
 

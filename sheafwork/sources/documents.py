@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import text as X
 from sheafwork.functions.geometry import HELVETICA
-from sheafwork.session import ship_package
+from sheafwork.session import bound_batches, join_heavy, ship_package
 
 WORD = "struct<text:string,x0:double,x1:double,top:double,bottom:double>"
 _PAGES = f"file_id string, path string, content_sha string, page_idx int, width double, height double, has_text boolean, words array<{WORD}>, error string"
@@ -143,6 +143,7 @@ def words_from_recognition(results: DataFrame) -> DataFrame:
 def recognise(rasters: DataFrame, make_engine: Callable[[], Callable[[np.ndarray], list[tuple[str, tuple[float, float, float, float]]]]]) -> DataFrame:
     """Runs an engine over ``rasters(file_id, page_idx, dpi, left, top, grey, n_rows, n_cols)``."""
     ship_package(rasters.sparkSession)
+    bound_batches(rasters.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make_engine()
@@ -241,7 +242,8 @@ def publish(operators: DataFrame, pages: DataFrame, paths: DataFrame) -> DataFra
     ship_package(pages.sparkSession)
     raster = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("grey", "binary"), ("n_rows", "int"), ("n_cols", "int"))]
     texts = operators.groupBy("tag", "offset").agg(F.sort_array(F.collect_list(F.struct("word_seq", "operator"))).alias("ops"))
-    rows = pages.select("tag", "offset", "width", "height", *raster).join(texts, ["tag", "offset"], "left").join(paths.select("tag", "path"), "tag")
+    joined = join_heavy if "grey" in pages.columns else DataFrame.join
+    rows = joined(joined(pages.select("tag", "offset", "width", "height", *raster), texts, ["tag", "offset"], "left"), paths.select("tag", "path"), ["tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return published_batches(batches)

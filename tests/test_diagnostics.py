@@ -2,7 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sheafwork.operators import redaction as R
 from sheafwork.plans import diagnostics as P
 from sheafwork.sources import documents as D
 from sheafwork.sources.png import grey_png, outlined, shrunk
@@ -52,6 +54,25 @@ def test_second_page_ink_and_exposure(spark):
     assert {r["tag"]: r["unnoticed"] for r in P.exposures(ink, findings).collect()} == {"a": True, "b": False}
 
 
+def test_rasters_are_never_broadcast_and_come_in_bounded_batches(spark):
+    """Spark takes a raster for 100 bytes, so that any number of pages seems small enough to send to every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    # of ranges Spark knows the size
+    key = [F.lit("f").alias("file_id"), F.col("id").cast("int").alias("page_idx")]
+    pages = spark.range(3).select(*key, F.unhex(F.repeat(F.lit("FF"), F.lit(200))).alias("grey"), F.lit(20).alias("n_rows"), F.lit(10).alias("n_cols"), F.lit(72.0).alias("dpi"))
+    one = spark.range(1, 2)
+    regions = one.select(*key, F.struct(*[F.lit(x).alias(n) for n, x in zip("ltrb", (0.0, 0.0, 5.0, 4.0), strict=True)]).alias("box"))
+    reasons = one.select(*key, F.array(F.lit("a")).alias("reasons"))
+    anchors = one.select(*key, *[F.lit(1.0).alias(c) for c in ("name_top", "group_top", "row_height")], *[F.lit(True).alias(f"{c}_found") for c in ("name", "teacher", "group")])
+    drawn = R.redacted_rasters(pages, regions.select("file_id", "page_idx", F.array("box").alias("boxes")))
+    for frame in (R.ink_in_regions(pages, regions), drawn, R.detect_bands(pages, anchors), P.contact_sheets(pages, reasons)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    assert {r["page_idx"]: bytes(r["grey"]).count(0) for r in drawn.collect()} == {0: 0, 1: 20, 2: 0}
+    assert [(r["page_idx"], r["share"], r["has_ink"]) for r in R.ink_in_regions(drawn.withColumn("dpi", F.lit(72.0)), regions).collect()] == [(1, 1.0, True)]
+
+
 @pytest.mark.parametrize("bad", [b"", b"x", b"%PDF-1.4\n"])
 def test_other_bytes_are_no_pages(bad):
     assert D.read_pdf(bad) == []
