@@ -136,6 +136,22 @@ def test_best_names_of_a_grid_equal_all_its_scores_but_compare_few_pairs(monkeyp
         assert sum(pairs) < 0.2 * 2 * 4 * len(texts) * len(names)
 
 
+def test_weighted_best_names_slide_few_windows(monkeypatch):
+    """Names of one word against texts of two: most share too few letters for a window to be among the best two."""
+    from sheafwork.functions import grids
+
+    rng, slid, windows = random.Random(23), [], grids._pair_windows
+    monkeypatch.setattr(grids, "_pair_windows", lambda *a: slid.append(len(a[-1])) or windows(*a))
+    words = [*dict.fromkeys("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(400))]
+    texts = [f"{w[:5]}z {rng.choice('pqrst')}yxw" for w in words[:30]]
+    grid = grids.weighted_grid([[w] for w in words])
+    _, rows, scores = grid.best(texts, 2)
+    for t, text in enumerate(texts):
+        want = sorted(enumerate(Z.py_score(text, w, "") for w in words), key=lambda x: (-x[1], x[0]))[:2]
+        assert [*zip(rows[2 * t : 2 * t + 2].tolist(), scores[2 * t : 2 * t + 2].tolist(), strict=True)] == want
+    assert 0 < sum(slid) < 0.3 * 2 * len(words) * len(texts)
+
+
 @pytest.mark.parametrize("scorer", [Z.native_name_score, Z.name_score])
 @pytest.mark.parametrize("by", [None, ["file_id"]])
 def test_best_candidates_equal_all_pairs_in_small_blocks(spark, monkeypatch, scorer, by):
