@@ -18,6 +18,8 @@ from sheafwork.functions.binding import let
 
 #: Characters that fit the masks without overflow in a signed 64-bit sum.
 MASK_CHARS = 61
+#: A text of so few characters has no window of a ratio over 95 but one that equals it: a letter less gives 200 * 9 / 19 at most.
+WHOLE_WINDOW_CHARS = 10
 
 
 def _col(x: Column | str) -> Column:
@@ -146,6 +148,8 @@ def py_partial(a: str, b: str) -> float:
     """The best ratio of the shorter text with a window of its length on the longer, windows cut off by the ends included."""
     if not a or not b:
         return 100.0 if a == b else 0.0
+    if a in b or b in a:
+        return 100.0
     if len(a) == len(b):
         return max(_windows(a, b), _windows(b, a))
     return _windows(*sorted((a, b), key=len))
@@ -159,16 +163,22 @@ def py_partial_token(a: str, b: str) -> float:
     return max(whole, py_partial(" ".join(sorted(set(x) - set(y))), " ".join(sorted(set(y) - set(x)))))
 
 
-def py_weighted(a: str, b: str) -> float:
-    """The weighted ratio: full comparison for like lengths, scaled partial comparison for unlike ones."""
+def py_weighted(a: str, b: str, known: float | None = None) -> float:
+    """The weighted ratio: full comparison for like lengths, scaled partial comparison for unlike ones.
+
+    ``known`` is the greater of the plain and the token-sorted ratio, where the caller has both and takes the greater of it and this score.
+    """
     if not a or not b:
         return 0.0
     unlike = max(len(a), len(b)) / min(len(a), len(b))
-    plain = py_ratio(a, b)
+    plain = py_ratio(a, b) if known is None else known
     if unlike < 1.5:
-        return max(plain, 0.95 * max(py_token_sort(a, b), py_token_set(a, b)))
+        return max(plain, 0.95 * max(py_token_sort(a, b) if known is None else 0.0, py_token_set(a, b)))
     scale = 0.9 if unlike <= 8 else 0.6
-    return max(plain, scale * py_partial(a, b), 0.95 * scale * py_partial_token(a, b))
+    by_words = 0.95 * scale * py_partial_token(a, b)
+    if by_words == 0.95 * scale * 100.0 and min(len(a), len(b)) <= WHOLE_WINDOW_CHARS and not (a in b or b in a):
+        return max(plain, by_words)  # a partial ratio over 95 needs the whole of a text this short
+    return max(plain, scale * py_partial(a, b), by_words)
 
 
 def py_normalize(x: str) -> str:

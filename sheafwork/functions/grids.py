@@ -112,11 +112,11 @@ def _sorted_words(x: str) -> str:
 
 
 class _Variants:
-    """The variants of names, each form once: ``of[k]`` are the forms of name k."""
+    """The variants of names, each form once, shorter forms first: ``form[j]`` is one of the forms of the name ``name[j]``."""
 
     def __init__(self, names: list[list[str]]):
-        forms: dict[str, int] = {}
-        pairs = sorted({(k, forms.setdefault(v, len(forms))) for k, variants in enumerate(names) for v in variants})
+        forms = {v: j for j, v in enumerate(sorted({v for variants in names for v in variants}, key=lambda v: (len(v), v)))}
+        pairs = sorted({(k, forms[v]) for k, variants in enumerate(names) for v in variants})
         letters: dict[str, int] = {}
         self.n, self.forms = len(names), list(forms)
         self.name, self.form = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
@@ -265,7 +265,7 @@ class _Bounds:
             limit = np.partition(upper, n_forms - first, axis=1)[:, n_forms - first]
         else:
             limit = np.full(n_texts, -1, np.float32)
-        of, forms = np.nonzero(upper >= limit[:, None])
+        of, forms = np.divmod(np.flatnonzero(upper >= limit[:, None]), n_forms)
         scores = scored(of, forms, np.zeros(n_texts))
         picked = self._names(of, forms, scores, k, n_texts)
         last = np.zeros(n_texts)
@@ -273,7 +273,7 @@ class _Bounds:
         ends = np.searchsorted(picked[0], np.arange(n_texts), side="right") - 1
         last[enough] = picked[2][ends[enough]]
         # all other forms that can reach it
-        more_of, more_forms = np.nonzero((upper >= (last - SLACK)[:, None].astype(np.float32)) & (upper < limit[:, None]))
+        more_of, more_forms = np.divmod(np.flatnonzero((upper >= (last - SLACK)[:, None].astype(np.float32)) & (upper < limit[:, None])), n_forms)
         if not len(more_of):
             return picked
         more = scored(more_of, more_forms, last)
@@ -286,11 +286,14 @@ class _Bounds:
         least = np.minimum(size, sizes)
         unlike = np.maximum(size, sizes) / least
         out = shared * (200.0 / (size + sizes)).astype(np.float32)
-        if self.grid.weighted and len(rows := np.flatnonzero(unlike >= 1.5)):
-            # a window of the shorter text's length or less: best one that holds what is shared and nothing else
-            n = least[rows].astype(np.float32)
-            common = np.minimum(shared[:, rows], n)
-            out[:, rows] = np.maximum(out[:, rows], common * np.where(unlike[rows] <= 8, 180.0, 120.0).astype(np.float32) / (n + common))
+        if self.grid.weighted:
+            # a window of the shorter text's length or less: best one that holds what is shared and nothing else; forms are ordered by length
+            below, above = int(np.sum((sizes < size) & (unlike >= 1.5))), int(np.sum((sizes > size) & (unlike >= 1.5)))
+            for rows in (slice(0, below), slice(len(sizes) - above, len(sizes))):
+                n = least[rows].astype(np.float32)
+                common = np.minimum(shared[:, rows], n)
+                of_window = common * np.where(unlike[rows] <= 8, 180.0, 120.0).astype(np.float32) / (n + common)
+                np.maximum(out[:, rows], of_window, out=out[:, rows])
         return out
 
     def _scores(self, texts: list[str], ordered: list[str], masks: tuple[np.ndarray, np.ndarray], ruled: np.ndarray | None, of: np.ndarray, forms: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -303,18 +306,19 @@ class _Bounds:
             return out
         by_rule = ruled[of, forms]
         for at in np.flatnonzero(by_rule):
-            out[at] = max(out[at], Z.py_weighted(texts[of[at]], v.forms[forms[at]]))
+            out[at] = max(out[at], Z.py_weighted(texts[of[at]], v.forms[forms[at]], out[at]))
         sizes = np.maximum(v.plain.sizes[forms], 1)
         unlike = np.maximum(size, sizes) / np.minimum(size, sizes)
         rows = np.flatnonzero(~by_rule & (unlike >= 1.5))
         if len(rows):
             scale = np.where(unlike[rows] <= 8, 0.9, 0.6)
-            whole = _pair_windows(v.plain, masks[0], size, of[rows], forms[rows])
+            wanted = lambda at: np.maximum(least[of[rows[at]]], out[rows[at]]) - SLACK
+            whole = _pair_windows(v.plain, masks[0], size, of[rows], forms[rows], wanted(slice(None)) / scale)
             out[rows] = np.maximum(out[rows], scale * whole)
             in_order = v.ordered_of[forms[rows]]
             same = (np.array([a == b for a, b in zip(texts, ordered, strict=True)])[of[rows]]) & self._as_ordered(forms[rows])
-            left = np.flatnonzero(~same & (95.0 * scale >= np.maximum(least[of[rows]], out[rows]) - SLACK))
-            by_words = _pair_windows(v.ordered, masks[1], size, of[rows[left]], in_order[left])
+            left = np.flatnonzero(~same & (95.0 * scale >= wanted(slice(None))))
+            by_words = _pair_windows(v.ordered, masks[1], size, of[rows[left]], in_order[left], wanted(left) / (0.95 * scale[left]))
             out[rows[left]] = np.maximum(out[rows[left]], 0.95 * scale[left] * by_words)
         return out
 
@@ -365,20 +369,48 @@ def _pair_ratios(column: Column, masks: np.ndarray, size: int, of: np.ndarray, r
     return out
 
 
-def _pair_windows(column: Column, masks: np.ndarray, size: int, of: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """``partial_ratios`` of pairs of a text (masks by letter, ``size`` characters) and a row of another length."""
+def _pair_windows(column: Column, masks: np.ndarray, size: int, of: np.ndarray, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """``partial_ratios`` of pairs of a text (masks by letter, ``size`` characters) and a row of another length, right where they reach ``least``."""
     out, sizes = np.zeros(len(of)), column.sizes[rows]
     for n in map(int, np.unique(sizes)):
         every = np.flatnonzero(sizes == n)
         step = max(1, CHUNK_PAIRS // (n + size))
-        for a in range(0, len(every), step):
-            at = every[a : a + step]
-            own, codes = of[at], column.codes[:n, rows[at]]
-            met = masks[own, codes]  # (characters of the row, pairs): their places in the text
-            out[at] = _rows_over_text(met, size) if n < size else _text_over_rows(met, size)
+        for a in range(0, len(every), CHUNK_PAIRS):
+            at = every[a : a + CHUNK_PAIRS]
+            met = masks.ravel()[of[at] * masks.shape[1] + column.codes[:n, rows[at]]]  # (characters of the row, pairs): their places in the text
+            if n < size:
+                kept = _reaching(met, size, least[at])
+                at, met = at[kept], met[:, kept]
+            for b in range(0, len(at), step):
+                few = met[:, b : b + step]
+                out[at[b : b + step]] = _rows_over_text(few, size) if n < size else _text_over_rows(few, size)
     return out
 
 
+def _reaching(met: np.ndarray, size: int, least: np.ndarray) -> np.ndarray:
+    """The pairs for which ``_rows_over_text`` can reach ``least``.
+
+    A window has no more in common than the row's letters that the text has, nor than its places whose letters the row has. By the first
+    bound, and at the ends of the text, where windows are shorter, by both, most pairs fall out; the others are bounded window by window.
+    """
+    n, kind = met.shape[0], np.int32 if size <= 30 else np.int64
+    met = met.astype(kind)
+    places, shared = np.bitwise_or.reduce(met, axis=0), (met != 0).sum(axis=0, dtype=np.uint8)
+    reach, lowest = shared >= least * (n / 100.0), least.min(initial=np.inf)
+    among = lambda low, high: np.minimum(np.bitwise_count(places & kind((1 << high) - (1 << low))), shared) >= least * ((high - low + n) / 200.0)
+    for m in range(1, n):
+        if 200.0 * m / (m + n) >= lowest:
+            reach |= among(0, m) | among(size - m, size)
+    kept = np.flatnonzero(reach)
+    places, shared, least = places[kept], shared[kept], least[kept]
+    reach = np.zeros(len(kept), bool)
+    for k in range(1 - n, size):
+        low, high = max(0, k), min(size, k + n)
+        if 200.0 * (high - low) / (high - low + n) >= lowest:
+            reach |= among(low, high)
+    return kept[reach]
+
+
 def _rows_over_text(met: np.ndarray, size: int) -> np.ndarray:
     n = met.shape[0]
     kind = np.int32 if size <= 30 else np.int64

@@ -152,6 +152,46 @@ def test_weighted_best_names_slide_few_windows(monkeypatch):
     assert 0 < sum(slid) < 0.3 * 2 * len(words) * len(texts)
 
 
+def test_few_windows_are_slid_and_shared_words_follow_the_rule(monkeypatch):
+    """Of the pairs whose letters allow a window most have none that can hold enough; pairs that share a word equal the rule without its short ways."""
+    from sheafwork.functions import grids
+
+    rng, slid, windows, over = random.Random(29), [], [], grids._rows_over_text
+    monkeypatch.setattr(grids, "_rows_over_text", lambda met, size: slid.append(met.shape[1]) or over(met, size))
+    all_pairs = grids._pair_windows
+    monkeypatch.setattr(grids, "_pair_windows", lambda *a: windows.append(len(a[3])) or all_pairs(*a))
+    names = [("".join(rng.choice("aeioubcdfg") for _ in range(4)), "".join(rng.choice("rstlnmaeio") for _ in range(5))) for _ in range(300)]
+    texts = [*dict.fromkeys(f"{a[:2]} {a[3:]} {b}" for a, b in names[:30])]
+    _, rows, scores = grids.weighted_grid([[f"{a} {b}", f"{b} {a}", b, a] for a, b in names]).best(texts, 2)
+    for t, text in enumerate(texts):
+        want = sorted(enumerate(Z.py_score(text, *n) for n in names), key=lambda x: (-x[1], x[0]))[:2]
+        assert [*zip(rows[2 * t : 2 * t + 2].tolist(), scores[2 * t : 2 * t + 2].tolist(), strict=True)] == want
+    assert 0 < sum(slid) < 0.5 * sum(windows)
+
+    def slide(a, b):
+        if len(a) == len(b):
+            return max(Z._windows(a, b), Z._windows(b, a))
+        return Z._windows(*sorted((a, b), key=len))
+
+    for _ in range(3000):
+        a, b = (" ".join("".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 9, 11, 14]))) for _ in range(rng.choice([1, 2, 3]))) for _ in range(2))
+        unlike, plain = max(len(a), len(b)) / min(len(a), len(b)), Z.py_ratio(a, b)
+        scale = 0.9 if unlike <= 8 else 0.6
+        by_words = 100.0 if set(a.split()) & set(b.split()) else max(slide(*(" ".join(sorted(x)) for x in pair)) for pair in ((a.split(), b.split()), (set(a.split()), set(b.split()))))
+        rule = max(plain, 0.95 * max(Z.py_token_sort(a, b), Z.py_token_set(a, b))) if unlike < 1.5 else max(plain, scale * slide(a, b), 0.95 * scale * by_words)
+        assert Z.py_weighted(a, b) == rule
+        known = max(plain, Z.py_token_sort(a, b))
+        assert max(known, Z.py_weighted(a, b, known)) == max(known, rule)
+
+
+def test_assignment_scores_names_once(spark):
+    """Claims are a window over the proposals: names are scored once against the roster and once against the held names."""
+    held = spark.createDataFrame([(1, "Brandt", "Oskar")], "ord int, last_name string, first_name string")
+    rows = M.assign_exclusive(M.propose(probes(spark, ["Wilma Teschner", " WILMA  teschner", "Oskar Brandt", None]), roster(spark, ROSTER), held))
+    assert [r["auto_sid"] is not None for r in rows.orderBy("ord").collect()] == [True, False, False, False]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
 @pytest.mark.parametrize("scorer", [Z.native_name_score, Z.name_score])
 @pytest.mark.parametrize("by", [None, ["file_id"]])
 def test_best_candidates_equal_all_pairs_in_small_blocks(spark, monkeypatch, scorer, by):
